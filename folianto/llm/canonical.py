@@ -20,6 +20,8 @@ TRANSLIT_ONE = ("абвгдеёзийклмнопрстуфыэъь", "abvgdeezi
 
 #: Edits allowed by the length of the wording: one below the first length, two below the second, three below the third, else four.
 EDITS = (5, 7, 12)
+#: Most (edits + edits between the sorted letters) / 2 by the length of the wording: a swap of neighbours counts 1, a letter left out or added 1, a letter replaced 1.5.
+TYPOS = ((5, 1.5), (7, 2), (10_000, 3))
 
 
 def _q(text: str) -> str:
@@ -52,6 +54,14 @@ def _typed(x: str) -> str:
     return f"translate(lower({x}), {_q(LATIN_KEYS)}, {_q(RUSSIAN_KEYS)})"
 
 
+def _letters(x: str) -> str:
+    return f"array_join(array_sort(split({x}, '')), '')"
+
+
+def _typos(a: str, b: str) -> str:
+    return f"(levenshtein({a}, {b}) + levenshtein({_letters(a)}, {_letters(b)})) / 2"
+
+
 def _k(n: str) -> str:
     return f"case when {n} < {EDITS[0]} then 1 when {n} < {EDITS[1]} then 2 when {n} < {EDITS[2]} then 3 else 4 end"
 
@@ -91,7 +101,7 @@ probes as (
   where start >= 1 and len > 0 and start + len - 1 <= m
 ),
 near as (
-  select distinct p.value, p.kind, s.genre_id, levenshtein(p.variant, s.form) as edits, s.k
+  select distinct p.value, p.kind, s.genre_id, levenshtein(p.variant, s.form) as edits, s.k, s.n, {_typos("p.variant", "s.form")} as typos
   from probes p join segments s on p.n = s.n and p.i = s.i and p.piece = s.piece
 ),
 abbreviated as (
@@ -101,9 +111,9 @@ abbreviated as (
   on a.tail = w.rest and a.tail <> '' and length(a.head) >= 2 and startswith(w.first, a.head)
 ),
 best as (
-  select value, min_by(genre_id, struct(edits, kind, genre_id)) as genre_id, min(edits) as edits from (
-    select value, genre_id, edits, kind from near where edits <= k
-    union all select value, genre_id, edits, kind from abbreviated)
+  select value, min_by(genre_id, struct(typos, edits, kind, genre_id)) as genre_id, min(edits) as edits from (
+    select value, genre_id, edits, kind, typos from near where edits <= k and typos <= case {' '.join(f'when n < {n} then {most}' for n, most in TYPOS)} end
+    union all select value, genre_id, edits, kind, 0 from abbreviated)
   group by value
 )
 """
