@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folianto.plans.sizes import once_per_key
 
-from . import bpe, canonical, distinctive, splitting
+from . import bpe, canonical, distinctive, garbled, splitting
 
 
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -40,6 +41,29 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return _mapped_books(spark, d).filter("genre_id = 0").groupBy("genre").agg(F.count("*").alias("n_books"))
 
 
+#: Fields of the library's text: table, key and column.
+FIELDS = {"content": ("chunks", "doc_id"), "title": ("books", "id"), "author": ("books", "id")}
+
+
+def _garbled(spark: SparkSession, d: str, fields: tuple[str, ...], restored: bool = False, model: garbled.Model | None = None) -> DataFrame:
+    """``(field, rec_id, chain, log_odds[, restored])``, each record once."""
+    model = model or garbled.library_model(spark, d)
+    parts = []
+    for name in fields:
+        table, key = FIELDS[name]
+        found = garbled.detect(spark.read.parquet(f"{d}/{table}.parquet"), key, name, model, restored)
+        parts.append(found.withColumnRenamed(key, "rec_id").select(F.lit(name).alias("field"), "*").dropDuplicates(["rec_id"]))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d, ("content", "title", "author")).select("field", "rec_id")
+
+
+def p6_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d, ("content", "title", "author"), restored=True)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.distinctive_terms(_chunks(spark, d), least_tf=5, most_df=3).select("doc_id", "term")
 
@@ -53,7 +77,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_unmatched, p7_found, p7_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
 
 
 _TERMS = r"""
