@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folianto.plans.sizes import once_per_key
 
-from . import bpe, canonical, distinctive, garbled, splitting
+from . import bpe, canonical, distinctive, garbled, lookalikes, splitting
 
 
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -28,6 +28,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("book_id", "chunk_num", "doc_id", "piece", "n_pieces", "content")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    fields = ("content", "title")
+    model = garbled.library_model(spark, d)
+    parts = []
+    for name in fields:
+        table, key = FIELDS[name]
+        cases = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name, only_cases=True).select(F.col(key).alias("rec_id"), name)
+        wrong = garbled.detect(cases, "rec_id", name, model).select("rec_id")
+        parts.append(cases.select("rec_id").distinct().join(wrong, "rec_id", "left_anti").select(F.lit(name).alias("field"), "rec_id"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = []
+    for name in ("content", "title"):
+        table, key = FIELDS[name]
+        texts = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name)
+        parts.append(texts.select(F.lit(name).alias("field"), F.col(key).alias("rec_id"), F.col(name).alias("text"), "is_case"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def _mapped_books(spark: SparkSession, d: str) -> DataFrame:
     books, genres, other = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("books", "genre_list", "genre_map"))
     return canonical.map_books(spark, books, genres, other)
@@ -77,7 +98,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_texts, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
 
 
 _TERMS = r"""
