@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folianto.plans.lineage import cut
 from folianto.plans.sizes import once_per_key
 
-from . import bpe, canonical, distinctive, garbled, lookalikes, splitting
+from . import bpe, canonical, distinctive, garbled, lookalikes, nearcopies, splitting
 
 
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -28,6 +29,27 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("book_id", "chunk_num", "doc_id", "piece", "n_pieces", "content")
 
 
+def _near(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    model = garbled.library_model(spark, d)
+    how = {"content": (nearcopies.words_shingles, nearcopies.WORDS_INDEX), "title": (nearcopies.chars_shingles, nearcopies.CHARS_INDEX)}
+    out = {}
+    for name, (shingles, index) in how.items():
+        table, key = FIELDS[name]
+        signed = cut(nearcopies.sign(spark.read.parquet(f"{d}/{table}.parquet"), key, name, shingles, index, model))
+        out[name] = nearcopies.near_copies(signed)
+    return out
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    parts = [nearcopies.pairs(*near).select(F.lit(name).alias("field"), "id_a", "id_b") for name, near in _near(spark, d).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    parts = [nearcopies.groups(*near).select(F.lit(name).alias("field"), F.col("id").alias("rec_id"), "class_id", "n_links") for name, near in _near(spark, d).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     fields = ("content", "title")
     model = garbled.library_model(spark, d)
@@ -98,7 +120,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_texts, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
 
 
 _TERMS = r"""
