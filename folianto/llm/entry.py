@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folianto.plans.lineage import cut
 from folianto.plans.sizes import once_per_key
 
-from . import bpe, canonical, distinctive, garbled, lookalikes, nearcopies, splitting
+from . import bpe, canonical, distinctive, garbled, lookalikes, names, nearcopies, splitting
 
 
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -71,6 +71,13 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    wrong = _garbled(spark, d, ("author",)).select(F.col("rec_id").alias("id"))
+    authors = spark.read.parquet(f"{d}/books.parquet").select("id", "author")
+    values = authors.join(wrong, "id", "left_anti").select("author").distinct()
+    return names.link_names(values, "author", spark.read.parquet(f"{d}/given_names.parquet"))
+
+
 def _mapped_books(spark: SparkSession, d: str) -> DataFrame:
     books, genres, other = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("books", "genre_list", "genre_map"))
     return canonical.map_books(spark, books, genres, other)
@@ -120,7 +127,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p4_found, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
 
 
 _TERMS = r"""

@@ -40,6 +40,8 @@ THRESHOLD, UNSEEN, TWIN_LENGTH = 7.0, -6.0, 12
 MOST_BIGRAMS = 60_000
 
 _TOKEN = re.compile(r"[^ \t\r\n]+")
+#: What a word may begin or end with besides its letters.
+_EDGES = " !\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
@@ -62,48 +64,53 @@ def _bytes_of(encoding: str) -> dict[int, int]:
     return table
 
 
+@cache
+def _readable(encoding: str) -> frozenset[str]:
+    return frozenset(map(chr, _bytes_of(encoding)))
+
+
+@cache
+def _as_bytes(encoding: str) -> dict[int, str]:
+    """Code point to the character of Latin-1 that has its byte."""
+    return {c: chr(b) for c, b in _bytes_of(encoding).items()} | {0xFFFD: "\xff"}
+
+
 @cache
 def _to_char(read: str, written: str) -> dict[int, str]:
-    """For one-byte encodings: garbled to original character. Characters outside ``read`` are absent."""
+    """For one-byte encodings: garbled to original character; what ``written`` lacks becomes U+FFFE."""
     out = {}
     for code, b in _bytes_of(read).items():
         try:
             out[code] = bytes([b]).decode(written)
         except UnicodeDecodeError:
-            continue
+            out[code] = "\ufffe"
     return out
 
 
 def undo(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """The text before ``chain``, or None if it can't be. U+FFFD stands for what was lost."""
     for read, written in chain:
+        high = {c for c in text if c > "\x7f"}
+        gone = "�" in high
+        high.discard("�")
+        if not high <= _readable(read):
+            return None
         if written == "utf-8":
-            to, out = _bytes_of(read), bytearray()
-            for ch in text:
-                c = ord(ch)
-                if c < 128:
-                    out.append(c)
-                elif c in to:
-                    out.append(to[c])
-                elif c == 0xFFFD:
-                    out.append(0xFF)
-                else:
+            raw = text.translate(_as_bytes(read)).encode("latin-1")
+            if not gone:
+                try:
+                    text = raw.decode("utf-8")
+                except UnicodeDecodeError:
                     return None
-            back = out.decode("utf-8", "replace")
-            lost = back.count("�")
-            if lost and ("�" not in text or lost > 2 * text.count("�") + 1):
-                return None
-            text = re.sub("�+", "�", back)
-        else:
-            to, out = _to_char(read, written), []
-            for ch in text:
-                if ch < "\x80" or ch == "�":
-                    out.append(ch)
-                elif (x := to.get(ord(ch))) is not None:
-                    out.append(x)
-                else:
+            else:
+                back = raw.decode("utf-8", "replace")
+                if back.count("�") > 2 * text.count("�") + 1:
                     return None
-            text = "".join(out)
+                text = re.sub("�+", "�", back)
+        else:
+            text = text.translate(_to_char(read, written))
+            if "\ufffe" in text:
+                return None
     return text
 
 
@@ -167,13 +174,16 @@ class Model:
 
     def token_gains(self, token: str) -> list[tuple[tuple, float]]:
         """For each transformation that can be undone: how much likelier the token becomes."""
+        high = {c for c in token if c > "\x7f" and c != "�"}
         base = self.score(token)
         if base > -3.2 * (len(token) + 1):  # an ordinary word
             return []
         usual = _usual(token)
         base = max(base, *(self.score(x) for x in (usual, usual.translate(_LOOK), usual.translate(_TO_CYRILLIC))))
-        out = []
+        out, fits = [], {r: high <= _readable(r) for r in READ}
         for chain in self.weights:
+            if not fits[chain[0][0]]:
+                continue
             back = undo(token, chain)
             if back is not None and back != token:
                 gain = self.score(back) - base
@@ -187,6 +197,7 @@ class Model:
         for token in set(_TOKEN.findall(text)):  # what is repeated is no further evidence
             if token.isascii():
                 continue
+            token = token.strip(_EDGES)
             gains = memo.get(token)
             if gains is None:
                 if len(memo) > 100_000:
@@ -203,7 +214,7 @@ class Model:
 
     def restore(self, text: str, chain: tuple, memo: dict) -> tuple[str, bool]:
         """The text undone: as a whole if nearly all its long words call for ``chain``, else word by word. False if something was lost."""
-        tokens = [t for t in _TOKEN.findall(text) if not t.isascii()]
+        tokens = [t.strip(_EDGES) for t in _TOKEN.findall(text) if not t.isascii()]
         gains = {t: memo.get(t) or self.token_gains(t) for t in set(tokens)}
         long = [t for t in tokens if len(t) > 3]
         agree = sum(any(c == chain and g > 0 for c, g in gains[t]) for t in long)
@@ -211,7 +222,7 @@ class Model:
         if whole is None:
 
             def fix(m: re.Match) -> str:
-                good = [(g + self.weights[c] / 4 + 8 * (c == chain), c) for c, g in gains.get(m.group(), ()) if g > 3.0]
+                good = [(g + self.weights[c] / 4 + 8 * (c == chain), c) for c, g in gains.get(m.group().strip(_EDGES), ()) if g > 3.0]
                 return undo(m.group(), max(good)[1]) if good else m.group()
 
             whole = _TOKEN.sub(fix, text)
