@@ -8,10 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folianto.plans.lineage import cut
 from folianto.plans.sizes import once_per_key
 
-from . import bpe, canonical, distinctive, garbled, lookalikes, names, nearcopies, splitting
+from . import bpe, canonical, distinctive, garbled, lookalikes, names, nearcopies, packing, splitting, truncated
 
 
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
@@ -35,8 +34,7 @@ def _near(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]
     out = {}
     for name, (shingles, index) in how.items():
         table, key = FIELDS[name]
-        signed = cut(nearcopies.sign(spark.read.parquet(f"{d}/{table}.parquet"), key, name, shingles, index, model))
-        out[name] = nearcopies.near_copies(signed)
+        out[name] = nearcopies.near_copies(spark.read.parquet(f"{d}/{table}.parquet"), key, name, shingles, index, model)
     return out
 
 
@@ -56,9 +54,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in fields:
         table, key = FIELDS[name]
-        cases = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name, only_cases=True).select(F.col(key).alias("rec_id"), name)
-        wrong = garbled.detect(cases, "rec_id", name, model).select("rec_id")
-        parts.append(cases.select("rec_id").distinct().join(wrong, "rec_id", "left_anti").select(F.lit(name).alias("field"), "rec_id"))
+        cases = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name, only_cases=True, leave_out=model)
+        parts.append(cases.select(F.lit(name).alias("field"), F.col(key).alias("rec_id")).distinct())
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -126,8 +123,24 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(spark.read.parquet(f"{d}/documents.parquet"))
 
 
+def p9_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(bpe.count_tokens(spark.read.parquet(f"{d}/documents.parquet")))
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p9_pack(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.find_truncated(spark.read.parquet(f"{d}/documents.parquet")).filter("truncated").select("doc_id")
+
+
+def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncated.by_source(truncated.find_truncated(spark.read.parquet(f"{d}/documents.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p4_found, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p4_found, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids, p9_pack, p9_report, p10_found, p10_by_source)}
 
 
 _TERMS = r"""
