@@ -10,13 +10,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .garbled import Model
+
 # Look-alike letters. Each column looks the same in Latin, Cyrillic and Greek; a dot: no such letter.
 LATIN = "aceopxyijsABCEHIJKMOPSTXYvZNh"
 CYRILLIC = "асеорхуіјѕАВСЕНІЈКМОРЅТХУ...һ"
@@ -77,7 +79,7 @@ def mapping() -> dict[str, str]:
 
 #: Combining marks that may follow a letter.
 _MARK = "\u0300-\u036f"
-_CLUSTER = re.compile(f"[^{_MARK}][{_MARK}]+|.", re.S)
+_MARKED = re.compile(f"[^{_MARK}][{_MARK}]+", re.S)
 _WORD = re.compile(f"[^\\W_]+(?:[{_MARK}]+[^\\W_]*)*(?:['’-][^\\W_]+)*")
 
 # Bits of characters: 1 needs the transducer, 2 Latin, 4 Cyrillic, 8 Greek letter, 16 has a double in another script.
@@ -96,20 +98,31 @@ def script_of(letter: str) -> str:
 
 
 def needs_look(texts: list[str | None]) -> np.ndarray:
-    """Texts that hold a mapped character or letters of two scripts; all others are in their one form already.
-
-    A text in one script of letters can't hold a letter of another standing for its double.
-    """
+    """Texts that hold a mapped character, two scripts in one word, or a word all of whose letters have doubles in the script that
+    most letters of the text are in; all others are in their one form already."""
     if not texts:
         return np.zeros(0, bool)
     starts = np.cumsum([0] + [len(t or "") + 1 for t in texts[:-1]])
     text = "\n".join(t or "" for t in texts) + "\n"
     kind = _KIND[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0x10000)]
-    seen = np.bitwise_or.reduceat(kind, starts)
-    scripts = ((seen & 2) > 0).astype(np.int8) + ((seen & 4) > 0) + ((seen & 8) > 0)
-    return ((seen & 1) > 0) | ((scripts > 1) & ((seen & 16) > 0))
-
-
+    script = kind & 14
+    odd = (kind & 1) > 0
+    odd[:-1] |= (script[:-1] > 0) & (script[1:] > 0) & (script[:-1] != script[1:])
+    found = np.logical_or.reduceat(odd, starts)
+    most = np.stack([np.add.reduceat(script == s, starts, dtype=np.int64) for s in (2, 4, 8)]).argmax(axis=0)
+    # runs of letters
+    letter = script > 0
+    edge = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    first = np.concatenate([[0], edge]) if letter[0] else edge
+    if len(first):
+        plain = np.bitwise_or.reduceat(np.where(letter & ((kind & 16) == 0), np.uint8(1), np.uint8(0)), first) > 0
+        owner = np.searchsorted(starts, first, side="right") - 1
+        strange = ~plain & (script[first] != np.array([2, 4, 8], np.uint8)[most[owner]])
+        found[owner[strange]] = True
+    return found
+
+
+@lru_cache(200_000)
 def _word_script(word: str) -> tuple[str, bool]:
     """The script a word is meant in and whether that is sure: that of most letters without a double there, else of most letters."""
     table = double_of()
@@ -125,6 +138,11 @@ def _word_script(word: str) -> tuple[str, bool]:
     return (max(every, key=every.get), False) if sum(every.values()) else ("", False)
 
 
+@lru_cache(200_000)
+def _one_script(word: str) -> bool:
+    return len({script_of(c) for c in word} - {""}) <= 1
+
+
 def _opens(text: str, at: int) -> bool:
     """Whether a sentence opens at ``at``."""
     before = text[:at].rstrip(" «“„\"'—")
@@ -136,28 +154,22 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table, self.double = mapping(), double_of()
+        self.single = {ord(a): b for a, b in self.table.items() if len(a) == 1}
 
     def clusters(self, text: str) -> str:
         """Widths, presentation forms, combining marks, blanks and invisible characters."""
-        table = self.table
-
-        def one(m: re.Match) -> str:
-            c = m.group()
-            if len(c) == 1:
-                return table.get(c, c)
-            base = table.get(c[0], c[0])
-            marks, rest = c[1:], ""
-            while marks:  # the longest part that is one character
-                for k in range(len(marks), 0, -1):
-                    if (whole := table.get(base[-1:] + marks[:k])) is not None:
-                        base, marks = base[:-1] + whole, marks[k:]
-                        break
-                else:
-                    rest, marks = rest + marks[0], marks[1:]
-            return base + rest
-
-        text = "".join(table.get(c, c) for c in text if c not in INVISIBLE) if any(c in INVISIBLE for c in text) else text
-        return _CLUSTER.sub(one, text)
+        return _MARKED.sub(self._composed, text.translate(self.single))
+
+    def _composed(self, m: re.Match) -> str:
+        base, marks, rest = m.group()[0], m.group()[1:], ""
+        while marks:  # the longest part that is one character
+            for k in range(len(marks), 0, -1):
+                if (whole := self.table.get(base + marks[:k])) is not None:
+                    base, marks = whole, marks[k:]
+                    break
+            else:
+                rest, marks = rest + marks[0], marks[1:]
+        return base + rest
 
     def __call__(self, text: str) -> tuple[str, bool]:
         """The one form, and whether the text held a case."""
@@ -173,12 +185,12 @@ class Transducer:
         parts, at = [], 0
         for k, (m, (script, ok)) in enumerate(zip(words, scripts)):
             word = m.group()
-            if not script or (ok and script == "G"):
+            if not script or (ok and (script == "G" or _one_script(word))):
                 continue
             if not ok:
                 # all letters have doubles: the script of the words beside decides, if they agree
                 near = {scripts[j][0] for j in range(max(0, k - 2), min(len(words), k + 3)) if j != k and scripts[j][1]}
-                mixed = len({script_of(c) for c in word} - {""}) > 1
+                mixed = not _one_script(word)
                 if mixed:
                     script = near.pop() if len(near) == 1 else main if sum(sure.values()) else script
                 elif near == {main} and script != main and main in "LC" and (word[1:].islower() or len(word) == 1 and (word.islower() or word in "ABCKOY" and _opens(out, m.start()))):
@@ -204,7 +216,7 @@ class Transducer:
         for piece in re.split("(['’-])", word):
             own, ok = _word_script(piece)
             target = own if ok else script
-            if not ok and len({script_of(c) for c in piece} - {""}) <= 1 and len(piece) > 1:
+            if not ok and _one_script(piece) and len(piece) > 1:
                 out.append(piece)
             elif target in "LC" and target:
                 out.append("".join(self.double.get((c, target), c) if script_of(c) not in ("", target) else c for c in piece))
@@ -227,23 +239,29 @@ def one_form(text: str | None) -> str | None:
     return transducer()(text)[0] if text and needs_look([text])[0] else text
 
 
-def normalize(df: DataFrame, key: str, column: str, only_cases: bool = False) -> DataFrame:
+def normalize(df: DataFrame, key: str, column: str, only_cases: bool = False, leave_out: Model | None = None) -> DataFrame:
     """``(key, column, is_case BOOLEAN)``: every text in its one form, and whether it held a case.
 
-    With ``only_cases`` just those rows. Null and empty texts come out as they are and are no cases; repeated rows come out
-    repeatedly; other columns of ``df`` are not read; an empty table gives no rows.
+    With ``only_cases`` just those rows; cases that ``leave_out`` finds garbled are none. Null and empty texts come out as they are and
+    are no cases; repeated rows come out repeatedly; other columns of ``df`` are not read; an empty table gives no rows.
     """
     kind = df.schema[key].dataType.simpleString()
+    shared = df.sparkSession.sparkContext.broadcast(leave_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        change = transducer()
+        change, model, memo = transducer(), shared.value, {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
             cases = np.zeros(len(texts), bool)
             for i in np.flatnonzero(needs_look(texts)).tolist():
                 if texts[i]:
-                    texts[i], cases[i] = change(texts[i])
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(cases)], [key, column, "is_case"])
-            yield out.filter(pa.array(cases)) if only_cases else out
+                    form, case = change(texts[i])
+                    if case and not (model and model.garbled(texts[i], memo)):
+                        texts[i], cases[i] = form, True
+            if only_cases:
+                at = pa.array(np.flatnonzero(cases))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([texts[i] for i in at.to_pylist()], pa.string()), pa.array(cases[cases])], [key, column, "is_case"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(cases)], [key, column, "is_case"])
 
     return df.select(key, F.col(column)).mapInArrow(run, f"`{key}` {kind}, `{column}` string, is_case boolean")
