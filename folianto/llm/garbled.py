@@ -191,8 +191,11 @@ class Model:
                     out.append((chain, gain))
         return out
 
-    def judge(self, text: str, memo: dict) -> tuple[tuple | None, float]:
-        """The likeliest transformation of a record and its log odds; None if no one is likely enough."""
+    def judge(self, text: str, memo: dict, enough: float = math.inf) -> tuple[tuple | None, float]:
+        """The likeliest transformation of a record and its log odds; None if no one is likely enough.
+
+        Words only add to the odds: where it is asked only whether a record is garbled, reading stops at ``enough``.
+        """
         sums: dict[tuple, float] = defaultdict(float)
         for token in set(_TOKEN.findall(text)):  # what is repeated is no further evidence
             if token.isascii():
@@ -204,7 +207,10 @@ class Model:
                     memo.clear()
                 gains = memo[token] = self.token_gains(token)
             for chain, gain in gains:
-                sums[chain] += max(gain, 0.0)
+                if gain > 0.0:
+                    sums[chain] += gain
+                    if sums[chain] + self.weights[chain] >= enough:
+                        return chain, sums[chain] + self.weights[chain]
         best, most = None, 0.0
         for chain, total in sums.items():
             total += self.weights[chain]
@@ -212,6 +218,9 @@ class Model:
                 best, most = chain, total
         return (best, most) if most >= THRESHOLD else (None, most)
 
+    def garbled(self, text: str, memo: dict) -> bool:
+        return self.judge(text, memo, THRESHOLD)[0] is not None
+
     def restore(self, text: str, chain: tuple, memo: dict) -> tuple[str, bool]:
         """The text undone: as a whole if nearly all its long words call for ``chain``, else word by word. False if something was lost."""
         tokens = [t.strip(_EDGES) for t in _TOKEN.findall(text) if not t.isascii()]
@@ -347,7 +356,7 @@ def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
 def detect(df: DataFrame, key: str, column: str, model: Model, restored: bool = False) -> DataFrame:
     """``(key, chain, log_odds[, restored])`` of the garbled records of ``df``.
 
-    ``chain`` names the wrong decoding, as ``utf-8>cp1251``. ``restored`` is the text with every word undone, null where
+    Without ``restored`` a record is read only until it is sure that it is garbled. ``chain`` names the wrong decoding, as ``utf-8>cp1251``. ``restored`` is the text with every word undone, null where
     something was lost. Null, empty and plain texts are no cases; repeated rows come out repeatedly;
     other columns of ``df`` are not read; an empty table gives no rows.
     """
@@ -363,7 +372,7 @@ def detect(df: DataFrame, key: str, column: str, model: Model, restored: bool =
             odd, mixed = oddities(texts)
             for i in np.flatnonzero(odd + mixed).tolist():
                 text = texts[i]
-                chain, total = model.judge(text, memo)
+                chain, total = model.judge(text, memo, math.inf if restored else THRESHOLD)
                 if chain is not None:
                     rows.append(i)
                     chains.append(" ".join(f"{w}>{r}" for r, w in chain))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folianto.plans.lineage import cut
+from folianto.plans.sizes import broadcast_if_small
 
 from .garbled import Model, oddities
 from .lookalikes import needs_look, transducer
@@ -33,7 +34,7 @@ _OTHER = re.compile(r"[\W_]+")
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks`` parts of ``width`` symbols, ``errors`` of which may differ; at 0.6 the parameters below miss one pair in 2,000 or fewer."""
+    """``chunks`` parts of ``width`` symbols, ``errors`` of which may differ; at 0.6 the parameters below miss one pair in 300, at 0.65 one in 1,500, at 0.7 one in 10,000 or fewer."""
 
     chunks: int
     width: int
@@ -45,7 +46,7 @@ class Index:
         return self.chunks * (self.errors + 1) - 1
 
 
-WORDS_INDEX, CHARS_INDEX = Index(9, 3, 1), Index(14, 4, 1)
+WORDS_INDEX, CHARS_INDEX = Index(9, 4, 1), Index(15, 5, 1)
 
 
 def words_shingles() -> Callable[[str], np.ndarray]:
@@ -115,73 +116,86 @@ class Signer:
         return h.ravel().view(np.int64)
 
 
+def _forms(batch: pa.RecordBatch, change, model: Model | None, memo: dict) -> Iterator[tuple[int, str]]:
+    """Row and text, in its one form and lower case, of the records that aren't garbled."""
+    texts = batch.column(1).to_pylist()
+    looks = needs_look(texts)
+    odd = sum(oddities(texts)) if model else np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        if text and not (odd[i] and model.garbled(text, memo)):
+            yield i, (change(text)[0] if looks[i] else text).lower()
+
+
 def sign(df: DataFrame, key: str, column: str, shingles: Callable[[], Callable[[str], np.ndarray]], index: Index, leave_out: Model | None = None) -> DataFrame:
-    """``(id, class, n, keys ARRAY<BIGINT>, shingles ARRAY<INT>)`` of every record that has a shingle.
+    """``(id, class, n, keys ARRAY<BIGINT>)`` of every record that has a shingle and isn't garbled by ``leave_out``.
 
-    Texts are taken in their one form and lower case; records that ``leave_out`` finds garbled give no row. ``class`` is the
-    same for records with equal sets of shingles.
+    ``class`` is the same for records with equal sets of shingles, ``n`` is the size of the set.
     """
     shared = df.sparkSession.sparkContext.broadcast(leave_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo, change, of, signer = shared.value, {}, transducer(), shingles(), Signer(index)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            looks = needs_look(texts)
-            odd = sum(oddities(texts)) if model else np.zeros(len(texts))
-            rows, classes, sizes, keys, sets = [], [], [], [], []
-            for i, text in enumerate(texts):
-                if not text or (odd[i] and model.judge(text, memo)[0]):
-                    continue
-                found = of((change(text)[0] if looks[i] else text).lower())
+            rows, classes, sizes, keys = [], [], [], []
+            for i, text in _forms(batch, change, model, memo):
+                found = of(text)
                 if len(found):
                     found = np.unique(found)
-                    short = np.unique((found >> np.uint64(32)).astype(np.uint32)).view(np.int32)
                     rows.append(i)
                     classes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-                    sizes.append(len(short))
+                    sizes.append(len(found))
                     keys.append(signer.keys(signer.signature(found)))
-                    sets.append(short)
             many = len(signer.choices) * index.chunks
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(classes, pa.int64()),
-                    pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32))),
-                ],
-                ["id", "class", "n", "keys", "shingles"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "class", "n", "keys"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("id"), F.col(column).alias("text")).filter(F.length("text") > 2).mapInArrow(run, f"id {kind}, class long, n int, keys array<long>, shingles array<int>")
-
-
-def class_links(signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(class_a, class_b)`` of different classes at or above ``similarity``; ``signed`` should be a written table."""
-    keyed = signed.select("class", "n", F.explode("keys").alias("key")).distinct()
-    a, b = (keyed.select("key", F.col("class").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = a.join(b, "key").filter(F.col("class_a") < F.col("class_b"))
-    near = near.filter(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")).select("class_a", "class_b").distinct()
-    near = cut(near)
-    wanted = near.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    sets = signed.select("class", "shingles").join(wanted, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
-    sa, sb = (sets.select(F.col("class").alias(f"class_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
-    both = near.join(sa, "class_a").join(sb, "class_b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    # the share is compared in whole numbers: 0.6 has no exact binary form
-    union = F.size("set_a") + F.size("set_b") - common
-    return both.filter(common * 1000 >= union * round(similarity * 1000)).select("class_a", "class_b")
+    return df.select(F.col(key).alias("id"), F.col(column).alias("text")).filter(F.length("text") > 2).mapInArrow(run, f"id {kind}, class long, n int, keys array<long>")
 
 
-def near_copies(signed: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``(links of classes, members)``: ``(class_a, class_b)`` and ``(class, id)``, each once.
+def shingle_sets(df: DataFrame, key: str, column: str, shingles: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
+    """``(id, shingles ARRAY<INT>)``: the whole sets, each shingle as 32 bits of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        change, of = transducer(), shingles()
+        for batch in batches:
+            rows, sets = [], []
+            for i, text in _forms(batch, change, None, {}):
+                rows.append(i)
+                sets.append(np.unique((of(text) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int32)))], ["id", "shingles"])
 
-    Null and empty texts and those without a shingle are in neither; repeated rows count once; an empty table gives
-    no rows.
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("id"), F.col(column).alias("text")).mapInArrow(run, f"id {kind}, shingles array<int>")
+
+
+def near_copies(
+    df: DataFrame, key: str, column: str, shingles: Callable[[], Callable[[str], np.ndarray]], index: Index, leave_out: Model | None = None, similarity: float = SIMILARITY
+) -> tuple[DataFrame, DataFrame]:
+    """``(links, members)``: ``(class_a, class_b)`` of linked classes and ``(class, id)`` of every record with a shingle.
+
+    Records with equal sets form a class, named by its least id; only one record of a class is joined. Null and empty texts, those
+    without a shingle and those that ``leave_out`` finds garbled are in neither frame; repeated rows count once; other columns of
+    ``df`` are not read; an empty table gives no rows.
     """
-    return class_links(signed, similarity), signed.select("class", "id").distinct()
+    signed = cut(sign(df, key, column, shingles, index, leave_out))
+    least = signed.groupBy("class").agg(F.min("id").alias("rep"))
+    members = signed.select("class", "id").distinct().join(least, "class").select(F.col("rep").alias("class"), "id")
+    one = signed.join(least.select("class", F.col("rep").alias("id")), ["class", "id"], "left_semi")
+    keyed = one.select("id", "n", F.explode("keys").alias("key"))
+    a, b = (keyed.select("key", F.col("id").alias(f"class_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    near = a.join(b, "key").filter((F.col("class_a") < F.col("class_b")) & (F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
+    near = cut(near.select("class_a", "class_b").distinct())
+    # the candidates' texts are read again: their sets are larger than the texts, and few are needed
+    wanted = near.select(F.explode(F.array("class_a", "class_b")).alias(key)).distinct()
+    texts = df.select(key, column).join(broadcast_if_small(wanted), key, "left_semi")
+    sets = shingle_sets(texts, key, column, shingles).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sa, sb = (sets.select(F.col("id").alias(f"class_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    both = near.join(sa, "class_a").join(sb, "class_b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
+    # the share is compared in whole numbers: 0.6 has no exact binary form
+    enough = F.col("common") * 1000 >= (F.size("set_a") + F.size("set_b") - F.col("common")) * round(similarity * 1000)
+    return both.filter(enough).select("class_a", "class_b"), members
 
 
 def pairs(links: DataFrame, members: DataFrame) -> DataFrame:
