@@ -152,22 +152,28 @@ def parse_bytes(data: bytes, name: str) -> dict:
     return row
 
 
-def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ``.txt``, ``.fb2`` and ``.docx`` file under ``folder`` as parsed; other files are left out by name.
+def parse_files(files: DataFrame) -> DataFrame:
+    """Rows of the ``binaryFile`` source as ``schemas.PARSED`` with the file's ``path``; files of other kinds are left out by name.
 
-    ``path`` is the file's path, ``file_path`` its bare name.
+    ``file_path`` is the bare name. A file that can't be read is a row with an ``error``; the
+    scan itself passes over files of zero bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     files = files.filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*EXTENSIONS)).select("path", "content")
+    columns = [c.split()[0] for c in schemas.PARSED.split(", ")]
 
     def run(batches):
         for pdf in batches:
             rows = [parse_bytes(data, path.rsplit("/", 1)[-1]) | {"path": path} for path, data in zip(pdf["path"], pdf["content"])]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in (schemas.PARSED + ", path string").split(", ")])
+            yield pd.DataFrame(rows, columns=[*columns, "path"])
 
     return files.mapInPandas(run, schemas.PARSED + ", path string")
 
 
+def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every ``.txt``, ``.fb2`` and ``.docx`` file under ``folder``, parsed."""
+    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
 def enrich(parsed: DataFrame, genre_map: DataFrame | None = None) -> DataFrame:
     """File-name metadata for text and Word files, mapped genres, and ``book_id`` from the path as given."""
     name, ext = file_name(F.col("path")), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
