@@ -39,10 +39,12 @@ THRESHOLD, UNSEEN, TWIN_LENGTH = 7.0, -6.0, 12
 #: Most bigrams kept in the model.
 MOST_BIGRAMS = 60_000
 
-_TOKEN = re.compile(r"[^ \t\r\n]+")
+_TOKEN = re.compile("[^ \t\r\n\u2000-\u200a\u202f\u3000]+")  # blanks that no encoding here has
 #: What a word may begin or end with besides its letters.
 _EDGES = " !\"#$%&'()*+,-./:;<=>?@[]_{|}~"
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: A word with a character that isn't plain: the only ones that can tell in a text whose plain letters follow as usual.
+_STRANGE = re.compile(f"[^ \t\r\n]*[^\x00-\x7fА-Яа-я{PLAIN} \t\r\n][^ \t\r\n]*")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 
 
@@ -179,7 +181,10 @@ class Model:
         if base > -3.2 * (len(token) + 1):  # an ordinary word
             return []
         usual = _usual(token)
-        base = max(base, *(self.score(x) for x in (usual, usual.translate(_LOOK), usual.translate(_TO_CYRILLIC))))
+        for form in (usual, usual.translate(_LOOK), usual.translate(_TO_CYRILLIC)):
+            base = max(base, self.score(form))
+            if base > -3.2 * (len(usual) + 1):  # ordinary but for blanks, widths and look-alikes
+                return []
         out, fits = [], {r: high <= _readable(r) for r in READ}
         for chain in self.weights:
             if not fits[chain[0][0]]:
@@ -191,13 +196,14 @@ class Model:
                     out.append((chain, gain))
         return out
 
-    def judge(self, text: str, memo: dict, enough: float = math.inf) -> tuple[tuple | None, float]:
+    def judge(self, text: str, memo: dict, enough: float = math.inf, mixed: bool = True) -> tuple[tuple | None, float]:
         """The likeliest transformation of a record and its log odds; None if no one is likely enough.
 
-        Words only add to the odds: where it is asked only whether a record is garbled, reading stops at ``enough``.
+        Words only add to the odds: where it is asked only whether a record is garbled, reading stops at ``enough``. ``mixed`` is false for
+        a text without odd capitals and mixed scripts.
         """
         sums: dict[tuple, float] = defaultdict(float)
-        for token in set(_TOKEN.findall(text)):  # what is repeated is no further evidence
+        for token in set((_TOKEN if mixed else _STRANGE).findall(text)):  # what is repeated is no further evidence
             if token.isascii():
                 continue
             token = token.strip(_EDGES)
@@ -218,8 +224,8 @@ class Model:
                 best, most = chain, total
         return (best, most) if most >= THRESHOLD else (None, most)
 
-    def garbled(self, text: str, memo: dict) -> bool:
-        return self.judge(text, memo, THRESHOLD)[0] is not None
+    def garbled(self, text: str, memo: dict, mixed: bool = True) -> bool:
+        return self.judge(text, memo, THRESHOLD, mixed)[0] is not None
 
     def restore(self, text: str, chain: tuple, memo: dict) -> tuple[str, bool]:
         """The text undone: as a whole if nearly all its long words call for ``chain``, else word by word. False if something was lost."""
@@ -281,8 +287,17 @@ def oddities(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat((kind & 1) == 0, starts, dtype=np.int64), np.add.reduceat(odd, starts, dtype=np.int64)
 
 
-def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts over the texts that are clean: at most two characters that aren't plain and no odd capitals."""
+_BREAK = re.compile("\r\n|\r|\n")
+
+
+def _skeleton(line: str) -> int | None:
+    """A hash of the line's text without non-ASCII characters, if enough of it is left."""
+    rest = line.encode("ascii", "ignore")
+    return xxhash.xxh64_intdigest(rest) - (1 << 63) if len(rest) >= TWIN_LENGTH and len(rest) < len(line) else None
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bigrams of the clean texts (at most two characters that aren't plain, no odd capitals) and the odd lines of the others."""
     n = len(_CHARS)
     total = np.zeros(n * n, np.int64)
     for batch in batches:
@@ -294,21 +309,23 @@ def _count_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ids = _IDS[np.minimum(codes, 0xFFFF)]
             if len(ids) > 1:
                 total += np.bincount(ids[:-1] * n + ids[1:], minlength=n * n)
+        lines = [x for i in np.flatnonzero(odd + mixed).tolist() for x in _BREAK.split(texts[i])]
+        odd, mixed = oddities(lines)
+        found = [(h, lines[i]) for i in np.flatnonzero(odd + mixed).tolist() if (h := _skeleton(lines[i])) is not None]
+        if found:
+            hashes, lines = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string()), pa.nulls(len(found), pa.int64())], ["h", "value", "n"])
     at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([_CHARS[i // n] + _CHARS[i % n] for i in at], pa.string()), pa.array(total[at], pa.int64())], ["pair", "n"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([_CHARS[i // n] + _CHARS[i % n] for i in at], pa.string()), pa.array(total[at], pa.int64())], ["h", "value", "n"])
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with a hash of their text without non-ASCII characters, if enough of it is left; whether they look odd."""
+def _clean_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines, hashes = [], []
-        for text in batch.column(0).to_pylist():
-            for line in re.split("\r\n|\r|\n", text or ""):
-                if not line.isascii() and len(rest := line.encode("ascii", "ignore")) >= TWIN_LENGTH:
-                    lines.append(line)
-                    hashes.append(xxhash.xxh64_intdigest(rest) - (1 << 63))
+        lines = [x for t in batch.column(0).to_pylist() if t for x in _BREAK.split(t)]
         odd, mixed = oddities(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string()), pa.array((odd + mixed) > 0, pa.bool_())], ["h", "line", "odd"])
+        found = [(h, lines[i]) for i in np.flatnonzero((odd + mixed) == 0).tolist() if (h := _skeleton(lines[i])) is not None]
+        hashes, lines = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], ["h", "line"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,12 +338,12 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = _NON_ASCII.findall(bad), _NON_ASCII.findall(good)
             if len(a) != len(b) or a == b:
                 continue
-            runs = [(x, y) for x, y in zip(a, b) if x != y]
+            runs = list(dict.fromkeys((x, y) for x, y in zip(a, b) if x != y))
             for k, chain in enumerate(chains):
-                right = sum(undo(x, chain) == y for x, y in runs)
-                if right and right >= 0.8 * len(runs):
-                    found[k] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["chain", "n"])
+                if any(undo(x, chain) == y for x, y in runs[:5]):  # at least 80 % must come right
+                    right = sum(undo(x, chain) == y for x, y in runs)
+                    found[k] += right >= 0.8 * len(runs)
+    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([int(n) for n in found.values()], pa.int64())], ["chain", "n"])
 
 
 def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
@@ -336,14 +353,14 @@ def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
     record. To the driver come at most ``MOST_BIGRAMS`` bigrams and one count for each transformation.
     """
     texts = texts.select(F.col(column).alias("t")).filter("t is not null")
-    counts = texts.mapInArrow(_count_bigrams, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = {r.pair: r.n for r in counts.orderBy(F.desc("n"), "pair").limit(MOST_BIGRAMS).collect()}
+    survey = cut(texts.mapInArrow(_survey, "h long, value string, n long"))
+    counts = survey.filter("h is null").groupBy("value").agg(F.sum("n").alias("n"))
+    counts = {r["value"]: r.n for r in counts.orderBy(F.desc("n"), "value").limit(MOST_BIGRAMS).collect()}
     model = Model.from_counts(counts)
 
-    lines = texts.mapInArrow(_lines, "h long, line string, odd boolean")
-    bad = cut(lines.filter("odd").select("h", F.col("line").alias("bad")).distinct())
+    bad = survey.filter("h is not null").select("h", F.col("value").alias("bad")).distinct()
     keys = broadcast_if_small(bad.select("h").distinct())
-    good = lines.filter("not odd").join(keys, "h", "left_semi").groupBy("h").agg(F.min("line").alias("good"))  # one line stands for all
+    good = texts.mapInArrow(_clean_lines, "h long, line string").join(keys, "h", "left_semi").groupBy("h").agg(F.min("line").alias("good"))  # one line stands for all
     pairs = bad.join(good, "h").select("bad", "good")
     if keyed is not None:
         pairs = pairs.unionByName(keyed.select("bad", "good"))
@@ -372,7 +389,7 @@ def detect(df: DataFrame, key: str, column: str, model: Model, restored: bool =
             odd, mixed = oddities(texts)
             for i in np.flatnonzero(odd + mixed).tolist():
                 text = texts[i]
-                chain, total = model.judge(text, memo, math.inf if restored else THRESHOLD)
+                chain, total = model.judge(text, memo, math.inf if restored else THRESHOLD, bool(mixed[i]))
                 if chain is not None:
                     rows.append(i)
                     chains.append(" ".join(f"{w}>{r}" for r, w in chain))

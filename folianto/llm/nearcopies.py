@@ -60,12 +60,11 @@ def words_shingles() -> Callable[[str], np.ndarray]:
             return np.empty(0, np.uint64)
         if len(memo) > 500_000:
             memo.clear()
-        ids = []
-        for w in words:
-            h = memo.get(w)
-            if h is None:
-                h = memo[w] = xxhash.xxh64_intdigest(w)
-            ids.append(h)
+        ids = list(map(memo.get, words))
+        if None in ids:
+            for k, h in enumerate(ids):
+                if h is None:
+                    ids[k] = memo[words[k]] = xxhash.xxh64_intdigest(words[k])
         a = np.array(ids, np.uint64)
         return _mix(_mix(a[:-2] * factors[0] + a[1:-1]) * factors[1] + a[2:] * factors[2])
 
@@ -85,6 +84,12 @@ def chars_shingles() -> Callable[[str], np.ndarray]:
     return of
 
 
+def _distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -108,22 +113,29 @@ class Signer:
             least = part if least is None else np.minimum(least, part)
         return least
 
-    def keys(self, signature: np.ndarray) -> np.ndarray:
-        parts = signature.reshape(self.index.chunks, self.index.width)[:, self.choices]  # chunk, choice, symbol
-        h = np.arange(parts.shape[0] * parts.shape[1], dtype=np.uint64).reshape(parts.shape[:2])
-        for k in range(parts.shape[2]):
-            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
-        return h.ravel().view(np.int64)
+    def keys(self, signatures: np.ndarray) -> np.ndarray:
+        """The keys of each row of ``signatures``."""
+        parts = signatures.reshape(-1, self.index.chunks, self.index.width)[:, :, self.choices]  # record, chunk, choice, symbol
+        h = np.broadcast_to(np.arange(self.index.chunks * len(self.choices), dtype=np.uint64).reshape(1, self.index.chunks, -1), parts.shape[:3])
+        for k in range(parts.shape[3]):
+            h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[..., k])
+        return h.reshape(len(parts), -1).view(np.int64)
 
 
 def _forms(batch: pa.RecordBatch, change, model: Model | None, memo: dict) -> Iterator[tuple[int, str]]:
     """Row and text, in its one form and lower case, of the records that aren't garbled."""
     texts = batch.column(1).to_pylist()
     looks = needs_look(texts)
-    odd = sum(oddities(texts)) if model else np.zeros(len(texts))
+    odd, mixed = oddities(texts) if model else (np.zeros(len(texts)),) * 2
     for i, text in enumerate(texts):
-        if text and not (odd[i] and model.garbled(text, memo)):
-            yield i, (change(text)[0] if looks[i] else text).lower()
+        if not text:
+            continue
+        form = change(text)[0] if looks[i] else text
+        if odd[i] or mixed[i]:
+            # what is in order once in its one form was odd only by look-alikes
+            if (form is text or sum(map(int, np.concatenate(oddities([form]))))) and model.garbled(text, memo, bool(mixed[i])):
+                continue
+        yield i, form.lower()
 
 
 def sign(df: DataFrame, key: str, column: str, shingles: Callable[[], Callable[[str], np.ndarray]], index: Index, leave_out: Model | None = None) -> DataFrame:
@@ -136,17 +148,17 @@ def sign(df: DataFrame, key: str, column: str, shingles: Callable[[], Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo, change, of, signer = shared.value, {}, transducer(), shingles(), Signer(index)
         for batch in batches:
-            rows, classes, sizes, keys = [], [], [], []
+            rows, classes, sizes, signatures = [], [], [], []
             for i, text in _forms(batch, change, model, memo):
-                found = of(text)
+                found = _distinct(of(text))
                 if len(found):
-                    found = np.unique(found)
                     rows.append(i)
                     classes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
                     sizes.append(len(found))
-                    keys.append(signer.keys(signer.signature(found)))
+                    signatures.append(signer.signature(found))
             many = len(signer.choices) * index.chunks
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            keys = signer.keys(np.stack(signatures)).ravel() if rows else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * many), pa.array(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["id", "class", "n", "keys"])
 
     kind = df.schema[key].dataType.simpleString()
