@@ -16,7 +16,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ TWICE = ("cp1252", "cp1251", "latin-1")
 # The characters of ordinary Russian, English, German and French text.
 PLAIN = "ЁёÀÂÄÆÇÈÉÊËÎÏÔÖŒÙÛÜàâäæçèéêëîïôöœùûüß…—–«»“”„‘’№"
 
-#: Natural log of the odds a record's gain must reach; votes that count as none; shortest text left for a twin.
-THRESHOLD, UNSEEN, TWIN_LENGTH = 7.0, -6.0, 12
+#: Natural log of the odds a record must reach if a word that tells holds a character that isn't plain, or else odd capitals or two scripts, or else plain letters only; votes that count as none; shortest text left for a twin.
+LEAST, UNSEEN, TWIN_LENGTH = (4.5, 14.0, 20.0), -6.0, 12
+#: Mean log probability of a character below which a text is looked at word by word.
+UNLIKELY = -3.6
 #: Most bigrams kept in the model.
 MOST_BIGRAMS = 60_000
 
@@ -116,6 +118,12 @@ def undo(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+@lru_cache(100_000)
+def _least(token: str) -> float:
+    odd, mixed = oddities([token])
+    return LEAST[0] if odd[0] else LEAST[1] if mixed[0] else LEAST[2]
+
+
 # Letters of Greek, Cyrillic and Latin that look alike, as one; only to tell look-alikes from wrong encodings.
 _LOOK = str.maketrans("аеорсухіјѕАВЕКМНОРСТХІЈЅαοργνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsABEKMHOPCTXIJSaopyvikABEZHIKMNOPTYX")
 _TO_CYRILLIC = str.maketrans("aeopcyxABEKMHOPCTXαορκΑΒΕΚΜΗΟΡΤΧ", "аеорсухАВЕКМНОРСТХаоркАВЕКМНОРТХ")
@@ -138,6 +146,7 @@ class Model:
     rest: dict[str, float] = field(default_factory=dict)
     weights: dict[tuple[tuple[str, str], ...], float] = field(default_factory=dict)
     floor: float = -16.0
+    table: np.ndarray | None = None
 
     @classmethod
     def from_counts(cls, counts: dict[str, int], alpha: float = 4.0) -> Model:
@@ -151,6 +160,26 @@ class Model:
         pairs = {p: math.log((n + alpha * math.exp(single[p[1]])) / (first[p[0]] + alpha)) for p, n in counts.items()}
         return cls(pairs, single, rest, {}, math.log(0.1 / (total + 1000)))
 
+    def suspects(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """``oddities``, counting also texts whose characters follow each other as in no clean text (all in small letters, say)."""
+        odd, mixed = oddities(texts)
+        if not texts:
+            return odd, mixed
+        if self.table is None:
+            n = len(_CHARS)
+            one = np.array([self.single.get(c, self.floor) for c in _CHARS], np.float32)
+            self.table = (np.array([self.rest.get(c, 0.0) for c in _CHARS], np.float32)[:, None] + one[None, :]).ravel()
+            at = {c: k for k, c in enumerate(_CHARS)}
+            for pair, p in self.pairs.items():
+                self.table[at[pair[0]] * n + at[pair[1]]] = p
+        text, starts = _joined(texts)
+        ids = _IDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+        values = np.empty(len(ids), np.float32)
+        values[0], values[1:] = 0, self.table[ids[:-1] * len(_CHARS) + ids[1:]]
+        lengths = np.diff(np.append(starts, len(ids)))
+        low = (np.add.reduceat(values, starts) < UNLIKELY * lengths) & (lengths > 3)
+        return odd, mixed + low
+
     def score(self, token: str) -> float:
         """Log likelihood of a token between blanks, with a cost for capitals in odd places; U+FFFD is neutral."""
         low = token.lower()
@@ -203,6 +232,8 @@ class Model:
         a text without odd capitals and mixed scripts.
         """
         sums: dict[tuple, float] = defaultdict(float)
+        need: dict[tuple, float] = {}
+        best, most = None, 0.0
         for token in set((_TOKEN if mixed else _STRANGE).findall(text)):  # what is repeated is no further evidence
             if token.isascii():
                 continue
@@ -215,17 +246,18 @@ class Model:
             for chain, gain in gains:
                 if gain > 0.0:
                     sums[chain] += gain
-                    if sums[chain] + self.weights[chain] >= enough:
-                        return chain, sums[chain] + self.weights[chain]
-        best, most = None, 0.0
-        for chain, total in sums.items():
-            total += self.weights[chain]
-            if total > most:
-                best, most = chain, total
-        return (best, most) if most >= THRESHOLD else (None, most)
+                    if gain >= 3.0:
+                        need[chain] = min(need.get(chain, LEAST[2]), _least(token))
+                    total = sums[chain] + self.weights[chain]
+                    if total >= need.get(chain, LEAST[2]):
+                        if total > most:
+                            best, most = chain, total
+                        if total >= enough:
+                            return best, most
+        return best, most if best else max((n + self.weights[c] for c, n in sums.items()), default=0.0)
 
     def garbled(self, text: str, memo: dict, mixed: bool = True) -> bool:
-        return self.judge(text, memo, THRESHOLD, mixed)[0] is not None
+        return self.judge(text, memo, 0.0, mixed)[0] is not None
 
     def restore(self, text: str, chain: tuple, memo: dict) -> tuple[str, bool]:
         """The text undone: as a whole if nearly all its long words call for ``chain``, else word by word. False if something was lost."""
@@ -386,10 +418,10 @@ def detect(df: DataFrame, key: str, column: str, model: Model, restored: bool =
         for batch in batches:
             rows, chains, odds, backs = [], [], [], []
             texts = batch.column(1).to_pylist()
-            odd, mixed = oddities(texts)
+            odd, mixed = model.suspects(texts)
             for i in np.flatnonzero(odd + mixed).tolist():
                 text = texts[i]
-                chain, total = model.judge(text, memo, math.inf if restored else THRESHOLD, bool(mixed[i]))
+                chain, total = model.judge(text, memo, math.inf if restored else 0.0, bool(mixed[i]))
                 if chain is not None:
                     rows.append(i)
                     chains.append(" ".join(f"{w}>{r}" for r, w in chain))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from folianto.plans.lineage import cut
 from folianto.plans.sizes import broadcast_if_small
 
-from .garbled import Model, oddities
+from .garbled import Model
 from .lookalikes import needs_look, transducer
 
 #: Least share of the shingles of either record that must be in both.
@@ -126,14 +126,14 @@ def _forms(batch: pa.RecordBatch, change, model: Model | None, memo: dict) -> It
     """Row and text, in its one form and lower case, of the records that aren't garbled."""
     texts = batch.column(1).to_pylist()
     looks = needs_look(texts)
-    odd, mixed = oddities(texts) if model else (np.zeros(len(texts)),) * 2
+    odd, mixed = model.suspects(texts) if model else (np.zeros(len(texts)),) * 2
     for i, text in enumerate(texts):
         if not text:
             continue
         form = change(text)[0] if looks[i] else text
         if odd[i] or mixed[i]:
             # what is in order once in its one form was odd only by look-alikes
-            if (form is text or sum(map(int, np.concatenate(oddities([form]))))) and model.garbled(text, memo, bool(mixed[i])):
+            if (form is text or any(map(any, model.suspects([form])))) and model.garbled(text, memo, bool(mixed[i])):
                 continue
         yield i, form.lower()
 
