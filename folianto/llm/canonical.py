@@ -19,7 +19,7 @@ TRANSLIT_MANY = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ
 TRANSLIT_ONE = ("абвгдеёзийклмнопрстуфыэъь", "abvgdeeziyklmnoprstufye")
 
 #: Edits allowed by the length of the wording: one below the first length, two below the second, three below the third, else four.
-EDITS = (5, 7, 12)
+EDITS = (5, 7, 9)
 #: Most (edits + edits between the sorted letters) / 2 by the length of the wording: a swap of neighbours counts 1, a letter left out or added 1, a letter replaced 1.5.
 TYPOS = ((5, 1.5), (7, 2), (10_000, 3))
 
