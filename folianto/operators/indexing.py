@@ -17,7 +17,8 @@ from folianto.plans.sizes import broadcast_if_small
 
 def positions(df: DataFrame, key: str, text: str, normalize_yo: bool = True, keep_digits: bool = True) -> DataFrame:
     """``(key, pos INT, term)``: one row for each token."""
-    return df.select(key, F.posexplode(tokens(F.col(text), normalize_yo, keep_digits)).alias("pos", "term"))
+    # outer: an inner generator gets a filter on the array's size below it, which would tokenize every text twice
+    return df.select(key, F.posexplode_outer(tokens(F.col(text), normalize_yo, keep_digits)).alias("pos", "term")).filter("term is not null")
 
 
 def stemmed(tokens_: DataFrame, language: str | None) -> DataFrame:
@@ -40,7 +41,7 @@ def lexicon(postings_: DataFrame) -> DataFrame:
 
 def statistics(df: DataFrame, word_count: Column) -> DataFrame:
     """One row: records with a token, tokens, and tokens for each record (0 for an empty collection)."""
-    counts = df.select(word_count.alias("n")).filter("n > 0").agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_term_count"))
+    counts = df.select(word_count.alias("n")).agg(F.count(F.when(F.col("n") > 0, 1)).alias("doc_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_term_count"))
     average = F.col("total_term_count").cast("double") / F.when(F.col("doc_count") > 0, F.col("doc_count"))
     return counts.withColumn("avg_doc_length", F.coalesce(average, F.lit(0.0)))
 

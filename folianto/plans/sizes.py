@@ -15,6 +15,15 @@ def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few splits dealt out to all cores; a scan with at least half as many splits as cores stays as it is.
+
+    For scans only: on other plans, asking for the partitions would run their shuffles.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def once_per_key(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """One row for each ``key`` of a table whose repeated rows are equal in every column.
 
@@ -30,4 +39,4 @@ def once_per_key(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     keep = F.min(F.struct("_f", "_i"))
     many = at.filter("_k is not null").groupBy("_k").agg(keep.alias("keep"), F.count("*").alias("n")).filter("n > 1")
     surplus = at.join(broadcast_if_small(many), "_k").filter("_f != keep._f or _i != keep._i").select("_f", "_i")
-    return wide.filter(F.col(key).isNotNull()).join(broadcast_if_small(surplus), ["_f", "_i"], "left_anti").select(*cols)
+    return spread(wide.filter(F.col(key).isNotNull())).join(broadcast_if_small(surplus), ["_f", "_i"], "left_anti").select(*cols)

@@ -22,13 +22,14 @@ from folianto.operators.indexing import Index
 from folianto.operators.search import Engine, highlight_terms, search_terms
 from folianto.plans.lineage import shared_dir
 from folianto.plans.query import And, Node, Not, Or, Phrase, Term, match, match_phrase, query_string
+from folianto.plans.sizes import spread
 from folianto.sources.metadata import book_id, file_name, filename_fields, map_genre
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet")
+    return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 @functools.lru_cache(8)
