@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folianto.functions.text import py_tokens
+from folianto.plans.lineage import cut
 
 
 def term_counts(df: DataFrame, key: str = "doc_id", content: str = "content", least: int = 1) -> DataFrame:
@@ -69,12 +70,8 @@ def distinctive_terms(df: DataFrame, key: str = "doc_id", content: str = "conten
     need no rule; an empty table gives no rows.
     """
     all_terms = term_counts(df, key, content)
-    per_term = all_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    if most_df is not None or least_tf > 1:
-        # every row that comes out has a term found often in one record: the other terms' counts are needed only in the total
-        total = all_terms.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
-    else:
-        total = all_terms.groupBy().agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    per_term = cut(all_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))  # one row for each word of the vocabulary
+    total = per_term.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
     if most_df is not None:
         per_term = per_term.filter(F.col("df") <= most_df)
     wanted = term_counts(df, key, content, least_tf) if least_tf > 1 else all_terms

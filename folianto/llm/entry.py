@@ -8,18 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folianto.plans.sizes import once_per_key
+from folianto.plans.sizes import once_per_key, spread
 
 from . import bpe, canonical, distinctive, garbled, lookalikes, names, nearcopies, packing, splitting, truncated
 
 
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
 def _chunks(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """Each chunk once."""
     return once_per_key(spark.read.parquet(f"{d}/chunks.parquet"), "doc_id", ["doc_id", *more, "content"])
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = splitting.split_items(spark.read.parquet(f"{d}/chunks.parquet").select("doc_id", "content"))
+    pieces = splitting.split_items(_table(spark, d, "chunks").select("doc_id", "content"))
     return pieces.filter("piece > 0").select("doc_id").distinct()
 
 
@@ -34,7 +38,7 @@ def _near(spark: SparkSession, d: str) -> dict[str, tuple[DataFrame, DataFrame]]
     out = {}
     for name, (shingles, index) in how.items():
         table, key = FIELDS[name]
-        out[name] = nearcopies.near_copies(spark.read.parquet(f"{d}/{table}.parquet"), key, name, shingles, index, model)
+        out[name] = nearcopies.near_copies(_table(spark, d, table), key, name, shingles, index, model)
     return out
 
 
@@ -54,7 +58,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in fields:
         table, key = FIELDS[name]
-        cases = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name, only_cases=True, leave_out=model)
+        cases = lookalikes.normalize(_table(spark, d, table), key, name, only_cases=True, leave_out=model)
         parts.append(cases.select(F.lit(name).alias("field"), F.col(key).alias("rec_id")).distinct())
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -63,7 +67,7 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name in ("content", "title"):
         table, key = FIELDS[name]
-        texts = lookalikes.normalize(spark.read.parquet(f"{d}/{table}.parquet"), key, name)
+        texts = lookalikes.normalize(_table(spark, d, table), key, name)
         parts.append(texts.select(F.lit(name).alias("field"), F.col(key).alias("rec_id"), F.col(name).alias("text"), "is_case"))
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -98,7 +102,7 @@ def _garbled(spark: SparkSession, d: str, fields: tuple[str, ...], restored: boo
     parts = []
     for name in fields:
         table, key = FIELDS[name]
-        found = garbled.detect(spark.read.parquet(f"{d}/{table}.parquet"), key, name, model, restored)
+        found = garbled.detect(_table(spark, d, table), key, name, model, restored)
         parts.append(found.withColumnRenamed(key, "rec_id").select(F.lit(name).alias("field"), "*").dropDuplicates(["rec_id"]))
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -120,11 +124,11 @@ def p7_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(spark.read.parquet(f"{d}/documents.parquet"))
+    return bpe.encode(_table(spark, d, "documents"))
 
 
 def p9_pack(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(bpe.count_tokens(spark.read.parquet(f"{d}/documents.parquet")))
+    return packing.pack(bpe.count_tokens(_table(spark, d, "documents")))
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -132,11 +136,11 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncated.find_truncated(spark.read.parquet(f"{d}/documents.parquet")).filter("truncated").select("doc_id")
+    return truncated.find_truncated(_table(spark, d, "documents")).filter("truncated").select("doc_id")
 
 
 def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return truncated.by_source(truncated.find_truncated(spark.read.parquet(f"{d}/documents.parquet")))
+    return truncated.by_source(truncated.find_truncated(_table(spark, d, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

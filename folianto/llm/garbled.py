@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folianto.plans.lineage import cut
-from folianto.plans.sizes import broadcast_if_small
+from folianto.plans.sizes import broadcast_if_small, spread
 
 # Encodings a text may have been written in, and those it may have been read in.
 WRITTEN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "cp1252")
@@ -438,7 +438,7 @@ def detect(df: DataFrame, key: str, column: str, model: Model, restored: bool =
 
 def library_model(spark: SparkSession, d: str) -> Model:
     """The model of a library's chunks, titles and authors; titles also meet the title in their file's name."""
-    chunks, books = spark.read.parquet(f"{d}/chunks.parquet"), spark.read.parquet(f"{d}/books.parquet")
+    chunks, books = (spread(spark.read.parquet(f"{d}/{t}.parquet")) for t in ("chunks", "books"))
     texts = chunks.select("content").unionByName(books.select(F.col("title").alias("content"))).unionByName(books.select(F.col("author").alias("content")))
     return fit(texts, "content", file_name_twins(books))
 
