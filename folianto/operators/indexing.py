@@ -49,13 +49,14 @@ def statistics(df: DataFrame, word_count: Column) -> DataFrame:
 def number_chunks(chunks: DataFrame, first_id: int = 1) -> DataFrame:
     """``chunk_num`` from 1 in each book and ``doc_id`` from ``first_id`` on, by book path, book and ``idx``; chunks without a token get none.
 
-    Books are ordered by path over their few rows; within a book the window's group is one book's chunks.
+    The books' counts are written in ranges of paths; only one number for each range is added up in one task. Within a book the
+    window's group is one book's chunks.
     """
     kept = chunks.filter("word_count > 0")
     sizes = kept.groupBy("file_path", "book_id").agg(F.count("*").alias("n"))
-    # ranges of paths, then books in a range: no window over all books in one task
-    sizes = sizes.withColumn("range", F.substring("file_path", 1, 24))
-    per_range = sizes.groupBy("range").agg(F.sum("n").alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sizes = cut(sizes.repartitionByRange("file_path", "book_id").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    per_range = sizes.groupBy("range").agg(F.sum("n").alias("m")).select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("ahead"))
     inside = Window.partitionBy("range").orderBy("file_path", "book_id").rowsBetween(Window.unboundedPreceding, -1)
     base = sizes.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(per_range, "range")
     base = base.select("book_id", (F.col("before") + F.col("ahead")).alias("base"))
