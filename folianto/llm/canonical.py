@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folianto.plans.lineage import cut
+
 # The Russian keyboard layout over the Latin one, and the transliteration of Russian.
 LATIN_KEYS = "`qwertyuiop[]asdfghjkl;'zxcvbnm,." + '~{}:"<>'
 RUSSIAN_KEYS = "ёйцукенгшщзхъфывапролджэячсмитьбю" + "ёхъжэбю"
@@ -78,7 +80,7 @@ forms as (
     union all select {_latin(_plain("wording"))}, genre_id from wordings)
   where form <> '' group by form
 ),
-vals as (select distinct value from @values@ where value is not null and trim(regexp_replace(value, '\\\\s+', ' ')) <> ''),
+vals as (select /*+ repartition(%tasks%, value) */ value from (select distinct value from @values@ where value is not null and trim(regexp_replace(value, '\\\\s+', ' ')) <> '')),
 bare as (select value, {_bare("value")} as b, {_bare(_typed("value"))} as kb from vals),
 variants as (
   select value, variant, min(kind) as kind from bare lateral view inline(array(
@@ -128,8 +130,16 @@ def map_values(spark: SparkSession, values: DataFrame, column: str, genre_list:
     inputs are not read; empty tables give no rows, an empty list leaves every value unmatched.
     """
     sql = re.sub(r"@(\w+)@", r"{\1}", _SQL.replace("{", "{{").replace("}", "}}"))
-    sql += "select value, genre_id, edits from best union all select v.value, 0, null from vals v left anti join best b on v.value = b.value"
-    return spark.sql(sql, values=values.select(values[column].alias("value")), genre_list=genre_list, genre_map=genre_map)
+    # few bytes, but much work for each value: a number of tasks that isn't reduced to the bytes
+    sql = sql.replace("%tasks%", spark.conf.get("spark.sql.shuffle.partitions"))
+    values = values.select(values[column].alias("value"))
+    best = cut(spark.sql(sql + "select value, genre_id, edits from best", values=values, genre_list=genre_list, genre_map=genre_map))
+    return spark.sql(
+        r"""select value, genre_id, edits from {best}
+            union all
+            select v.value, 0, null from (select distinct value from {values} where trim(regexp_replace(value, '\s+', ' ')) <> '') v left anti join {best} b on v.value = b.value""",
+        best=best, values=values,
+    )
 
 
 def map_books(spark: SparkSession, books: DataFrame, genre_list: DataFrame, genre_map: DataFrame) -> DataFrame:
