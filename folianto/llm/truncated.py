@@ -9,8 +9,10 @@ a limit are judged by other odds.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +28,10 @@ from folianto.plans.sizes import broadcast_if_small
 ORDERS, BUCKETS = (1, 2, 3, 4, 6, 8), 1 << 17
 #: Prior share of cut texts; log odds given by a source's limit; share of a source's cut texts, and least of them, that shows a limit.
 PRIOR, AT_LIMIT, LIMIT_SHARE, LIMIT_LEAST = 0.06, 6.0, 0.08, 3
+#: A line closes texts if at least this share of its occurrences does, in at least so many texts that differ before it; the same for the beginning of a line.
+CLOSING_SHARE, CLOSING_LEAST, BEGINNING = 0.5, 3, 7
+#: Lines counted in a worker before they are handed on.
+LINES_HELD = 200_000
 #: Log odds below which a text is cut, by language group and kind of text.
 THRESHOLDS = {("cyrillic", "prose"): 0.0, ("cyrillic", "lines"): 0.0, ("latin", "prose"): 0.0, ("latin", "lines"): 0.0}
 
@@ -59,6 +65,24 @@ def group_of(text: str) -> str:
     return "cyrillic" if sum("Ѐ" <= c <= "ӿ" for c in tail) * 2 > sum(c.isalpha() for c in tail) else "latin"
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def lines_of(core: str) -> list[str]:
+    return [x for x in map(str.strip, _LINES.split(core)) if x]
+
+
+def beginning(line: str) -> str:
+    """The first characters of a line, with a separator that keeps them apart from whole lines; a line without more is itself."""
+    return line[:BEGINNING] + "\n" if len(line) > BEGINNING else line
+
+
+def before(lines: list[str]) -> str:
+    """What stands before the last line, without blanks and marks: equal in texts that were sent again."""
+    return "".join(c for c in lines[-2][-60:].lower() if c.isalnum()) if len(lines) > 1 else ""
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
 
@@ -75,8 +99,8 @@ def contexts(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-#: Contexts anywhere; before a letter; at the ends of lines of verse and lists; at the ends of texts in prose; of the longest order, over the first characters of last lines in prose.
-COUNTERS = ("anywhere", "goes_on", "line", "text", "last")
+#: Contexts anywhere; before a letter; at the ends of lines of verse and lists; at the ends of texts in prose.
+COUNTERS = ("anywhere", "goes_on", "line", "text")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +109,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = [t.replace("\r\n", "\n") for t in batch.column(0).to_pylist() if t and not t.isspace()]
         for start in range(0, len(texts), 500):
             part = texts[start : start + 500]
-            pieces, lines, ends, last, at = [], [], [], [], 0
+            pieces, lines, ends, at = [], [], [], 0
             for t in part:
                 core, mark = ending(t)
                 if not core:
@@ -99,8 +123,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     lines.append((at - len(piece), at))
                 else:
                     ends.append(at - 2)
-                    if (start_of := core.rfind("\n")) >= 0 and len(core) - start_of > ORDERS[-1]:
-                        last.append(at - len(piece) + start_of + ORDERS[-1])
             if not pieces:
                 continue
             codes = _codes("".join(pieces))
@@ -117,8 +139,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts[o, 1] += np.bincount(h[goes_on], minlength=BUCKETS)
                 counts[o, 2] += np.bincount(h[line_end], minlength=BUCKETS)
                 counts[o, 3] += np.bincount(h[ends], minlength=BUCKETS)
-                if o == len(ORDERS) - 1:
-                    counts[o, 4] += np.bincount(h[last], minlength=BUCKETS)
     for o in range(len(ORDERS)):
         at = np.flatnonzero(counts[o, 0])
         yield pa.RecordBatch.from_arrays([pa.array(at + o * BUCKETS), *(pa.array(counts[o, j, at]) for j in range(len(COUNTERS)))], ["bucket", *COUNTERS])
@@ -150,35 +170,27 @@ class Model:
             before_end, before_any = seen_end, seen_any
         return ratio, inside if inside is not None else 0.0
 
-    def closing_line(self, core: str) -> bool:
-        """Whether the last line of a text in prose is one that closes texts: by its end or by its beginning."""
-        buckets = [h[-1] for h in contexts(_codes("\n" + core))] if len(core) < 64 else [h[-1] for h in contexts(_codes(core[-64:]))]
-        if self.counts[ORDERS.index(6), 3, buckets[ORDERS.index(6)]] >= 3:
-            return True
-        line = core[core.rfind("\n") :]
-        if len(line) <= ORDERS[-1] or line[0] != "\n":
-            return False
-        b = contexts(_codes(line[: ORDERS[-1]]))[-1][-1]
-        closes, seen = self.counts[-1, 4, b], self.counts[-1, 0, b]
-        return closes >= 3 and closes * 3 >= seen
-
-    def judge(self, text: str) -> tuple[float, str, str, str, int, int]:
-        """Log odds that the text is whole, kind, group, mark, and its length in code points and bytes up to the cut."""
+    def judge(self, text: str) -> tuple[float, float | None, float | None, str, str, str, int, int]:
+        """Log odds that the text is whole, those if its last line, or the beginning of it, closes texts (null if that tells nothing),
+        kind, group, mark, and its length in code points and bytes up to the cut."""
         core, mark = ending(text)
         kind, group = kind_of(core), group_of(core)
         prior = math.log((1 - PRIOR) / PRIOR)
         if mark and mark != "...":
-            return -20.0, kind, group, mark, len(core), len(core.encode("utf-8", "replace"))
+            return -20.0, None, None, kind, group, mark, len(core), len(core.encode("utf-8", "replace"))
         if not core:
-            return 20.0, kind, group, mark, 0, 0
+            return 20.0, None, None, kind, group, mark, 0, 0
         ratio, inside = self.score(core, kind)
         odds = ratio + prior
-        if core[-1:].isalpha() and inside > 2.5:
+        by_line = by_beginning = None
+        in_word = core[-1:].isalpha() and inside > 2.5
+        if in_word:
             odds = min(odds, -inside)
         if kind == "prose" and core[-1].isalnum():
-            if self.closing_line(core):
-                odds = max(odds, AT_LIMIT)
-            elif inside < 2.5 and SIGNATURE.search(core):
+            # not enough at a source's limit; a name after the beginning of a signature may look like a part of a word
+            by_beginning = max(odds, AT_LIMIT - 0.1) - (4.0 if mark else 0.0)
+            by_line = None if in_word else by_beginning
+            if inside < 2.5 and SIGNATURE.search(core):
                 odds = max(odds, 1.0)
             else:
                 odds = min(odds - 5.0, -1.0)
@@ -197,7 +209,7 @@ class Model:
             for a, b in _OPEN.items():
                 if last.rfind(a) > last.rfind(b) and not (a == "“" and "„" in last):
                     odds = min(odds, -2.0)
-        return odds, kind, group, mark, len(core), len(core.encode("utf-8", "replace"))
+        return odds, by_line, by_beginning, kind, group, mark, len(core), len(core.encode("utf-8", "replace"))
 
 
 def fit(df: DataFrame, text: str = "text") -> Model:
@@ -212,6 +224,23 @@ def fit(df: DataFrame, text: str = "text") -> Model:
     return Model(out)
 
 
+def with_closings(written: DataFrame) -> DataFrame:
+    """The judged texts of ``written`` with the odds given by lines that close texts, found from its counts of lines.
+
+    Lines are compared whole, or by their first ``BEGINNING`` characters, never by buckets. Texts that are the same before their last line count once.
+    """
+    texts, lines = written.filter("n is null").drop("n"), written.filter("n is not null").groupBy("line").agg(F.sum("n").alias("n"))
+    ends = texts.filter("by_beginning is not null")
+    closing = ends.select(F.explode(F.array_distinct(F.array("line", "start"))).alias("line"), "before").groupBy("line").agg(F.countDistinct("before").alias("differ"), F.count("*").alias("closes"))
+    closing = broadcast_if_small(closing.filter(F.col("differ") >= CLOSING_LEAST))
+    closing = cut(lines.join(closing, "line").filter(F.col("closes") >= CLOSING_SHARE * F.col("n")).select("line"))
+    by_line, by_start = (broadcast_if_small(closing.select(F.col("line").alias(c), F.lit(True).alias(f"_{c}"))) for c in ("line", "start"))
+    ends = ends.join(by_line, "line", "left").join(by_start, "start", "left")
+    odds = F.coalesce(F.when(F.col("_line"), F.col("by_line")), F.when(F.col("_start"), F.col("by_beginning")), F.col("log_odds"))
+    ends = ends.withColumn("log_odds", odds).select(*texts.columns)
+    return texts.filter("by_beginning is null").unionByName(ends).drop("by_line", "by_beginning", "line", "start", "before")
+
+
 def find_truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``(key, source, log_odds, kind, group, mark, at_limit, truncated)`` for every row of ``df``.
 
@@ -222,16 +251,42 @@ def find_truncated(df: DataFrame, key: str = "doc_id", text: str = "text", sourc
     shared = df.sparkSession.sparkContext.broadcast(model)
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, source)}
 
+    names = [key, source, "log_odds", "by_line", "by_beginning", "kind", "group", "mark", "chars", "bytes", "all_chars", "all_bytes", "line", "start", "before", "n"]
+    types = (pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 7)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            rows = [(20.0, "prose", "latin", "", 0, 0, 0, 0) if not t or t.isspace() else (*model.judge(t), len(t), len(t.encode("utf-8", "replace"))) for t in batch.column(1).to_pylist()]
-            columns = list(zip(*rows)) if rows else [()] * 8
-            kinds = (pa.float64(), pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds))], [key, source, "log_odds", "kind", "group", "mark", "chars", "bytes", "all_chars", "all_bytes"])
+        held: Counter[str] = Counter()  # lines and beginnings of lines
+        own = None
+
+        def counted() -> pa.RecordBatch:
+            n, hashes = len(held), pa.array(map(_hash, held), pa.int64())
+            out = [*(pa.nulls(n, t) for t in (*own, *types[:-3])), hashes, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(held.values(), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, names)
 
-    schema = f"`{key}` {kinds[key]}, `{source}` {kinds[source]}, log_odds double, kind string, group string, mark string, chars long, bytes long, all_chars long, all_bytes long"
-    scored = cut(df.select(key, text, source).mapInArrow(run, schema))
+        for batch in batches:
+            own, rows = (batch.column(0).type, batch.column(2).type), []
+            for t in batch.column(1).to_pylist():
+                if not t or t.isspace():
+                    rows.append((20.0, None, None, "prose", "latin", "", 0, 0, 0, 0, None, None, None))
+                    continue
+                judged = model.judge(t)
+                lines = lines_of(ending(t)[0])
+                held.update(lines)
+                held.update(beginning(x) for x in lines if len(x) > BEGINNING)
+                hashes = (_hash(lines[-1]), _hash(beginning(lines[-1])), _hash(before(lines))) if judged[2] is not None else (None, None, None)
+                rows.append((*judged, len(t), len(t.encode("utf-8", "replace")), *hashes))
+            columns = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, types)), pa.nulls(len(rows), pa.int64())], names)
+            if len(held) > LINES_HELD:
+                yield counted()
+        if held:
+            yield counted()
+
+    schema = f"`{key}` {kinds[key]}, `{source}` {kinds[source]}, log_odds double, by_line double, by_beginning double, kind string, group string, mark string, chars long, bytes long, all_chars long, all_bytes long, line long, start long, before long, n long"
+    written = cut(df.select(key, text, source).mapInArrow(run, schema))
+    scored = with_closings(written)
 
     low = F.lit(0.0)
     for (group, kind), most in THRESHOLDS.items():

@@ -239,3 +239,18 @@ def test_truncated(spark):
     shares = {x.source: x for x in truncated.by_source(found).collect()}
     assert shares[None].n_truncated == len(got) and shares["b"].n == 3 and shares["b"].share == 0
     assert truncated.find_truncated(df.limit(0)).count() == 0
+
+
+def test_truncated_ends_that_occur_often(spark):
+    """Cut texts stay found however often their last characters close texts; lines that close different texts stay whole."""
+    texts = library(300)
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    often = {1000 + i: f"{texts[i]}\n{texts[i + 1][:60]} и потом над городом" for i in range(12)}
+    again = {2000 + i: f"{texts[40]}\nИ потом над городом" for i in range(6)}
+    closed = {3000 + i: f"{texts[60 + i]}\n\nКонец" for i in range(12)}
+    signed = {4000 + i: f"{texts[80 + i]}\nЗаписал {name}" for i, name in enumerate(("Слазгей", "Клялдей", "Пошис", "Смазан", "Дувр", "Нудман"))}
+    rows += [(i, t, "b") for part in (often, again, closed, signed) for i, t in part.items()]
+    found = truncated.find_truncated(frame(spark, rows, "doc_id long, text string, source string"))
+    assert found.count() == len(rows)
+    got = {x.doc_id for x in found.filter("truncated").collect()}
+    assert got >= {*often, *again} and not got & {*closed, *signed}
