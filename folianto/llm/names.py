@@ -259,8 +259,8 @@ def link_names(values: DataFrame, column: str, given_names: DataFrame) -> DataFr
     """``(author_a, author_b)``: pairs of different stored values that name the same person or organisation, the smaller first.
 
     Null, blank and "nobody" marks link to nothing; repeated rows count once; an empty table gives no rows; other columns are
-    not read. A name without a full given name is linked to a fuller one only where all fuller names in reach that it
-    agrees with agree with one another: else it might be either.
+    not read. What a name leaves out agrees with anything: a bare surname or initials are linked to every fuller name in reach
+    that they fit, also where those are namesakes.
     """
     values = cut(values.select(F.col(column).alias("value")).filter(F.trim("value") != "").distinct())
     lexicon = learn(values, "value", given_names)
