@@ -1,8 +1,8 @@
-"""Filling containers of a fixed capacity: hierarchical packing over several window lengths.
+"""Filling containers of a fixed capacity: packing longest first over all sizes.
 
-Texts go by their size to the shortest of several windows that holds them. Only the number of texts of each size (at most
-``capacity`` numbers) comes to the driver, where the containers are planned as patterns: the window of the longest texts is packed first,
-each container's gap is filled from the shorter windows, from the longest down, and what is left of a window is packed by itself.
+Only the number of texts of each size (at most ``capacity`` numbers) comes to the driver, where the containers are planned as patterns:
+the longest text left opens a container, and its gap is filled from the longest text that fits down. The shortest of several windows
+that holds a text is a label on its row: it has no effect on the packing.
 A pattern says how many texts of which sizes share a container and how often it is used. Each text then finds its place by its rank
 among the texts of its size, which is counted without putting them into one group.
 """
@@ -43,7 +43,7 @@ class Slot:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot], int]:
     """The slots of all sizes and the number of containers.
 
-    Each round takes the longest text left, fills the gap with the longest texts that fit (of its own window, then of the shorter ones),
+    Each round takes the longest text left, fills the gap with the longest texts that fit, from the longest size down,
     and repeats the pattern as often as the counts allow: at least one size is used up by each round, so there are at most as many
     rounds as sizes, whatever the number of texts.
     """
