@@ -32,7 +32,7 @@ PRIOR, AT_LIMIT, LIMIT_SHARE, LIMIT_LEAST = 0.06, 6.0, 0.08, 3
 CLOSING_SHARE, CLOSING_LEAST, BEGINNING = 0.5, 3, 7
 #: Lines counted in a worker before they are handed on.
 LINES_HELD = 200_000
-#: Log odds below which a text is cut, by language group and kind of text.
+#: Log odds below which a text is cut, by language group and kind of text: none is fitted, one threshold serves all.
 THRESHOLDS = {("cyrillic", "prose"): 0.0, ("cyrillic", "lines"): 0.0, ("latin", "prose"): 0.0, ("latin", "lines"): 0.0}
 
 # Marks put after a cut, and the marks that end sentences.
