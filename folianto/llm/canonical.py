@@ -137,7 +137,7 @@ def map_values(spark: SparkSession, values: DataFrame, column: str, genre_list:
     return spark.sql(
         r"""select value, genre_id, edits from {best}
             union all
-            select v.value, 0, null from (select distinct value from {values} where trim(regexp_replace(value, '\s+', ' ')) <> '') v left anti join {best} b on v.value = b.value""",
+            select v.value, 0, null from (select distinct value from {values} where trim(regexp_replace(value, '\\s+', ' ')) <> '') v left anti join {best} b on v.value = b.value""",
         best=best, values=values,
     )
 

@@ -201,6 +201,14 @@ def test_canonical_values(spark):
     assert {r.genre_id for r in canonical.map_books(spark, books.filter("genre = 'лирика'"), genres.limit(0), other).collect()} == {0}
 
 
+def test_genres_of_one_letter(spark):
+    """A value is blank by its blanks, not by the letter of the pattern for them."""
+    genres, other = frame(spark, [(1, "Лирика")], "genre_id int, genre string"), frame(spark, [], "original string, mapped string")
+    books = frame(spark, [(1, "s"), (2, "sss"), (3, " s "), (4, "лирика"), (5, " \t\n"), (6, None)], "id long, genre string")
+    assert {r.book_id: r.genre_id for r in canonical.map_books(spark, books, genres, other).collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert {r.value for r in canonical.map_values(spark, books, "genre", genres, other).collect()} == {"s", "sss", " s ", "лирика"}
+
+
 def test_packing(spark):
     rows = [(i, n) for i, n in enumerate([5, 5, 5, 0, None, 2048, 5000, 1000, 1000, 48] * 30)]
     df = frame(spark, rows, "doc_id long, n_tokens int").withColumn("size", F.lit("own")).withColumn("container", F.lit(0))
