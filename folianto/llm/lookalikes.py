@@ -82,7 +82,7 @@ _MARK = "\u0300-\u036f"
 _MARKED = re.compile(f"[^{_MARK}][{_MARK}]+", re.S)
 _WORD = re.compile(f"[^\\W_]+(?:[{_MARK}]+[^\\W_]*)*(?:['’-][^\\W_]+)*")
 
-# Bits of characters: 1 needs the transducer, 2 Latin, 4 Cyrillic, 8 Greek letter, 16 has a double in another script.
+# Bits of characters: 1 needs the transducer, 2 Latin, 4 Cyrillic, 8 Greek letter, 16 has a double in another script, 32 belongs to a word, 64 joins the parts of a compound.
 _KIND = np.zeros(0x10001, np.uint8)
 _KIND[0x10000] = 1
 for _low, _high, _bit in ((0x41, 0x5B, 2), (0x61, 0x7B, 2), (0xC0, 0x250, 2), (0x1E00, 0x1F00, 2), (0x400, 0x530, 4), (0x370, 0x400, 8), (0x300, 0x370, 1)):
@@ -90,6 +90,9 @@ for _low, _high, _bit in ((0x41, 0x5B, 2), (0x61, 0x7B, 2), (0xC0, 0x250, 2), (0
 _KIND[[0xD7, 0xF7]] = 0
 _KIND[[ord(c) for c in mapping() if len(c) == 1 and ord(c) < 0x10000]] |= 1
 _KIND[[ord(a) for a, _ in double_of()]] |= 16
+_KIND[[c for c in range(0x10000) if chr(c).isalnum()]] |= 32
+_KIND[0x10000] |= 32
+_KIND[[ord(c) for c in "'’-"]] |= 64
 
 
 def script_of(letter: str) -> str:
@@ -98,8 +101,9 @@ def script_of(letter: str) -> str:
 
 
 def needs_look(texts: list[str | None]) -> np.ndarray:
-    """Texts that hold a mapped character, two scripts in one word, or a word all of whose letters have doubles in the script that
-    most letters of the text are in; all others are in their one form already."""
+    """Texts that hold a mapped character, two scripts in one word, a lone letter with doubles in a compound of two scripts, or a word
+    all of whose letters have doubles in the script that most letters or most sure words of the text are in; all others are in their
+    one form already."""
     if not texts:
         return np.zeros(0, bool)
     starts = np.cumsum([0] + [len(t or "") + 1 for t in texts[:-1]])
@@ -109,7 +113,8 @@ def needs_look(texts: list[str | None]) -> np.ndarray:
     odd = (kind & 1) > 0
     odd[:-1] |= (script[:-1] > 0) & (script[1:] > 0) & (script[:-1] != script[1:])
     found = np.logical_or.reduceat(odd, starts)
-    most = np.stack([np.add.reduceat(script == s, starts, dtype=np.int64) for s in (2, 4, 8)]).argmax(axis=0)
+    each = np.stack([np.add.reduceat(script == s, starts, dtype=np.int64) for s in (2, 4, 8)])
+    most = each.argmax(axis=0)
     # runs of letters
     letter = script > 0
     edge = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
@@ -119,6 +124,36 @@ def needs_look(texts: list[str | None]) -> np.ndarray:
         owner = np.searchsorted(starts, first, side="right") - 1
         strange = ~plain & (script[first] != np.array([2, 4, 8], np.uint8)[most[owner]])
         found[owner[strange]] = True
+    rest = np.flatnonzero(~found & ((each > 0).sum(axis=0) > 1))
+    if len(rest):
+        found[rest] = _needs_closer_look([texts[i] for i in rest.tolist()])
+    return found
+
+
+def _needs_closer_look(texts: list[str]) -> np.ndarray:
+    """The same for texts that hold letters of several scripts, none beside each other: by whole words, compounds and sure words."""
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+    kind = _KIND[np.minimum(np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32), 0x10000)]
+    script, of = kind & 14, np.array([2, 4, 8], np.uint8)
+    letter, word, whole = script > 0, (kind & 32) > 0, (kind & 96) > 0
+    first = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
+    owner = np.searchsorted(starts, first, side="right") - 1
+    found = np.zeros(len(texts), bool)
+    own = letter & ((kind & 16) == 0)
+    plain = np.add.reduceat(own, first, dtype=np.int64) > 0
+    # two scripts in a word, with digits between the letters; the newline after each text parts the words
+    piece, compound = np.cumsum(~word)[first], np.cumsum(~whole)[first]
+    found[owner[1:][(piece[1:] == piece[:-1]) & (script[first][1:] != script[first][:-1])]] = True
+    # a lone letter in a compound of two scripts
+    opens = np.flatnonzero(np.concatenate([[True], compound[1:] != compound[:-1]]))
+    scripts = np.bitwise_or.reduceat(script[first], opens)
+    two = np.repeat((scripts & (scripts - 1)) > 0, np.diff(np.append(opens, len(first))))
+    found[owner[two & ~letter[first + 1] & ~plain]] = True
+    # the script of most sure words, as the transducer takes it
+    each = np.stack([np.add.reduceat(own & (script == s), first[opens], dtype=np.int64) for s in of])
+    sure, some = np.zeros((3, len(texts)), np.int64), each.sum(axis=0) > 0
+    np.add.at(sure, (each.argmax(axis=0)[some], owner[opens][some]), 1)
+    found[owner[~plain & (script[first] != of[sure.argmax(axis=0)[owner]])]] = True
     return found
 
 

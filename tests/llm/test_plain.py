@@ -149,3 +149,14 @@ def test_endings():
     assert truncated.ending("стих —") == ("стих —", "")
     assert truncated.ending("текст…") == ("текст…", "")
     assert truncated.kind_of("раз\nдва\nтри") == "lines" and truncated.kind_of("Раз.\nДва.\nТри") == "prose"
+
+
+def test_look_alikes_worth_a_look():
+    """What the transducer would change is looked at: compounds, words with digits, and the script of most sure words."""
+    change = lookalikes.transducer()
+    texts = ["Пишите на е-mail сегодня, в любое время.", "Это модель Ж9J и другие слова.", "Слово а1b здесь стоит.", "we go to а big fun вечерняяпрогулкапоогромномугороду", "Обычный текст - и GPU-отдел, XVIII-м веке.", "", None, "a plain text"]
+    looks = lookalikes.needs_look(texts)
+    assert all(look for t, look in zip(texts, looks) if t and change(t)[1])
+    assert looks[0] and looks[3] and not looks[4:].any()
+    assert lookalikes.one_form(texts[0]) == "Пишите на e-mail сегодня, в любое время."
+    assert lookalikes.one_form(texts[3]).startswith("we go to a big")
