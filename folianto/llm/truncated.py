@@ -41,6 +41,8 @@ SHRINK, CLOSING_Z, LIMIT_Z = 4.0, 3.0, 4.0
 LIMIT_SHARE = 0.08
 #: About the most rows the weights are fitted on, and as many cut at random places; rounds of the fit; rows of either sort below which a language takes the weights of all.
 FIT_ROWS, ROUNDS, OWN_ROWS = 40_000, 4, 30
+#: One of so many artificial cuts is moved on to the end of its word.
+WORD_ENDS = 3
 #: Least share of artificial cuts that must pass the limits by which the share of cut texts is found; many cuts in verse look like ends of lines.
 PASSING = {"prose": 0.95, "lines": 0.6}
 #: Bits of the filter of contexts: for each context, and at most. A fuller filter costs time only.
@@ -203,26 +205,29 @@ def _tails(texts: list[str | None], chosen: list[int]) -> list[tuple]:
     cores, groups = [], []
     for t, pick in zip(texts, chosen):
         if not t or t.isspace():
-            rows.append([False, False, None, None, "", False, 0, 0, 0, 0, None, None, 0, 0, 0, 0])
+            rows.append([False, False, None, None, "", False, 0, 0, 0, 0, None, None, 0, 0, 0])
             continue
         clean = plain_blanks(t)
         core, mark = ending(clean)
         if not core:
-            rows.append([False, False, None, None, mark, False, 0, 0, len(t), len(t.encode("utf-8", "replace")), None, None, 0, 0, 0, 0])
+            rows.append([False, False, None, None, mark, False, 0, 0, len(t), len(t.encode("utf-8", "replace")), None, None, 0, 0, 0])
             continue
         if not mark and core[-1] == "…":
             core, mark = core[:-1].rstrip() or core, "…"
         lang = language_of(clean)
         for artificial in (False, True)[: 1 + bool(pick and not mark)]:
-            c, ns = core, (0, 0, 0, 0)
+            c, ns = core, (0, 0, 0)
             if artificial:
                 k = 1 + pick % max(1, len(core) - 1)
+                if (pick >> 40) % WORD_ENDS == 0:  # some limits spare words
+                    k = min((i for i in (core.find(" ", k), core.find("\n", k)) if i > 0), default=k)
                 c = core[:k].rstrip()
                 if not c:
                     continue
                 after = core[len(c) : len(c) + 1]
-                sentence = kind_of(c) == "prose" and bool(SENTENCE_END.search(c[-4:])) and after.isspace()
-                ns = (int(after.isalpha()), int(after != "" and after in STOPS + "\n"), int(sentence or (kind_of(c) == "lines" and after == "\n")), int("\n" not in core[len(c) :]))
+                if (after == "\n" if kind_of(c) == "lines" else after.isspace() and SENTENCE_END.search(c[-4:])):
+                    continue  # at an end of a line or sentence: no case
+                ns = (int(after.isalpha()), int(after != "" and after in STOPS + "\n"), int("\n" not in core[len(c) :]))
             kind = kind_of(c)
             lines = _LINES.split(c)
             before = "".join(x for x in "\n".join(lines[:-1])[-BEFORE:].lower() if x.isalnum()) or "".join(x for x in c[-BEFORE:].lower() if x.isalnum())
@@ -244,8 +249,8 @@ def read_ends(df: DataFrame, key: str, text: str, source: str, rows: int) -> Dat
     """One row for each text, and one more for each of about ``FIT_ROWS`` of them cut at a random place (``artificial``)."""
     kinds = {c: df.schema[c].dataType.simpleString() for c in (key, source)}
     every = max(1, rows // FIT_ROWS)
-    names = [key, source, "artificial", "chosen", "lang", "kind", "mark", "last_letter", "chars", "bytes", "all_chars", "all_bytes", "contexts", "before", "next_letter", "next_stop", "is_end", "same_line"]
-    types = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.int64(), *[pa.int32()] * 4)
+    names = [key, source, "artificial", "chosen", "lang", "kind", "mark", "last_letter", "chars", "bytes", "all_chars", "all_bytes", "contexts", "before", "next_letter", "next_stop", "same_line"]
+    types = (pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.bool_(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.int64(), *[pa.int32()] * 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,7 +264,7 @@ def read_ends(df: DataFrame, key: str, text: str, source: str, rows: int) -> Dat
                 columns = list(zip(*out)) if out else [()] * len(types)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(2).take(index), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
-    schema = f"`{key}` {kinds[key]}, `{source}` {kinds[source]}, artificial boolean, chosen boolean, lang string, kind string, mark string, last_letter boolean, chars long, bytes long, all_chars long, all_bytes long, contexts array<long>, before long, next_letter int, next_stop int, is_end int, same_line int"
+    schema = f"`{key}` {kinds[key]}, `{source}` {kinds[source]}, artificial boolean, chosen boolean, lang string, kind string, mark string, last_letter boolean, chars long, bytes long, all_chars long, all_bytes long, contexts array<long>, before long, next_letter int, next_stop int, same_line int"
     return df.select(key, text, source).mapInArrow(run, schema)
 
 
@@ -411,6 +416,10 @@ def lower_bound(k: np.ndarray, n: np.ndarray, z: float) -> np.ndarray:
 FEATURES = ("ends", "goes_on", "in_word", "closes", "runs")
 
 
+#: Whether a feature speaks for a cut text or against: a fitted weight may not have the other sign.
+DIRECTIONS = np.array([-1, 1, 1, -1, -1, 0])
+
+
 def features(counts: np.ndarray, letter_last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``counts`` (row, context, inside/letter/stop/ends/closes) to features, and to the odds of standing before a full stop.
 
@@ -460,7 +469,13 @@ def fit_group(x: np.ndarray, artificial: np.ndarray, share: float | None = None,
     whole = ~artificial
     for _ in range(ROUNDS):
         weight = np.where(artificial, 1 / m, whole / max(1, whole.sum())) * min(n, m)
-        w = _logistic(x, artificial.astype(float), weight)
+        free = np.ones(x.shape[1], bool)
+        while True:
+            w = _logistic(np.where(free, x, 0.0), artificial.astype(float), weight)
+            wrong = free & (w * DIRECTIONS < 0)
+            if not wrong.any():
+                break
+            free &= ~wrong
         score = x @ w
         ends, cuts = np.sort(score[~artificial]), np.sort(score[artificial])
 
@@ -540,12 +555,12 @@ def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         out[row, j, c] = flat.field(name).to_numpy(zero_copy_only=False)
     known[row, j] = True
     artificial = np.array(batch.column("artificial").to_pylist(), bool)
-    own = np.stack([np.array(batch.column(c).to_pylist(), float) for c in ("next_letter", "next_stop", "is_end")], axis=1)
+    own = np.stack([np.array(batch.column(c).to_pylist(), float) for c in ("next_letter", "next_stop")], axis=1)
     # a place inside a text was counted itself; the beginning of a line that goes on, too
     places = [i for i, (kind, _) in enumerate(CONTEXTS) if kind != "line"]
     at = np.ix_(artificial, places)
     out[..., 0][at] -= known[at]
-    for c in range(3):
+    for c in range(2):
         out[..., c + 1][at] -= own[artificial, c][:, None] * known[at]
     line = CONTEXTS.index(("line", 0))
     same = np.array(batch.column("same_line").to_pylist(), float)
@@ -556,7 +571,7 @@ def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _with_features(ends: DataFrame) -> DataFrame:
-    fields = [f for f in ends.schema if f.name not in ("counts", "contexts", "next_letter", "next_stop", "is_end", "same_line", "before")]
+    fields = [f for f in ends.schema if f.name not in ("counts", "contexts", "next_letter", "next_stop", "same_line", "before")]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
