@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import SparkSession
 from folianto.operators.indexing import Index, append
 from folianto.operators.search import Engine, highlight_terms
 from folianto.plans.query import QueryParseError, query_string
-from folianto.sources.files import enrich, read_parsed
+from folianto.sources.files import FileError, enrich, read_parsed
 from folianto.sources.metadata import load_genre_map
 
 DEFAULT_INDEX = "./user_index"
+#: The genre map that is used where none is named, if it is there.
+DEFAULT_GENRES = "./genres_map.csv"
 
 
 def session() -> SparkSession:
@@ -46,8 +49,14 @@ def prompt(spark: SparkSession, index: str, language: str, k: int) -> None:
             return
         if line.startswith("index "):
             _, folder, *rest = line.split()
-            engine = Engine(index_folder(spark, folder, rest[0] if rest else index, None, language))
-            print(f"{engine.index.doc_count} chunks")
+            genres = rest.pop(rest.index("--genres") + 1) if "--genres" in rest[:-1] else DEFAULT_GENRES if os.path.exists(DEFAULT_GENRES) else None
+            rest = [x for x in rest if x != "--genres"]
+            try:
+                engine = Engine(index_folder(spark, folder, rest[0] if rest else index, genres, language))
+            except FileError as e:
+                print(e)
+                continue
+            print(f"{engine.index.doc_count} chunks, {engine.index.indexed_files} files and {engine.index.indexed_chunks} chunks of them new")
         elif line:
             show(engine, line, k)
 
@@ -73,7 +82,7 @@ def main(args: list[str] | None = None) -> int:
         return 2
     spark = session()
     if a.command == "index":
-        print(f"{index_folder(spark, a.folder, a.index, a.genres, a.language).doc_count} chunks")
+        print(f"{index_folder(spark, a.folder, a.index, a.genres or (DEFAULT_GENRES if os.path.exists(DEFAULT_GENRES) else None), a.language).doc_count} chunks")
     elif a.command == "search":
         show(Engine(Index.load(spark, a.index, a.language)), a.query, a.k)
     else:

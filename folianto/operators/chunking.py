@@ -43,6 +43,17 @@ def sentence_column(col: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def sentence_rows(df: DataFrame, text: str) -> DataFrame:
+    """``df`` without ``text``, a row for each of the chunker's sentences: ``pos`` from 0 and ``sentence``."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sentences(t or ""))
+
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.posexplode(run(F.col(text))).alias("pos", "sentence"))
+
+
 def _packed(parts: list[str], most: int, alone: int | None = None) -> list[str]:
     """Parts joined by blanks as long as they stay within ``most``; one longer than ``alone`` stands for itself."""
     out: list[str] = []

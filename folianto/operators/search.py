@@ -16,6 +16,8 @@ from folianto.plans.query import Node, words_in
 
 from .indexing import Index
 
+#: Most hits that are fetched by their ids; more are joined.
+MOST_FETCHED = 1_000
 HIGHLIGHTS = "array<struct<offset:bigint,length:bigint>>"
 
 
@@ -88,11 +90,21 @@ class Engine:
         value = compile_tree(tree, self.normal, F.col("entries"))
         return self.entries(words).select("doc_id", value.alias("bm25_score")).filter("bm25_score is not null")
 
-    def _with_metadata(self, hits: DataFrame) -> DataFrame:
+    def with_metadata(self, hits: DataFrame, few: bool = False) -> DataFrame:
+        """With the chunks' and books' columns. ``few`` hits (a top k) of a stored index are fetched by their ids, which prunes the scans."""
         chunks = self.index.chunks.select("doc_id", "book_id", "chunk_num", "content")
+        if few and self.index.stored:
+            hits = hits.sparkSession.createDataFrame(hits.collect(), hits.schema)  # at most k rows
+            chunks = chunks.filter(F.col("doc_id").isin([r.doc_id for r in hits.collect()]))
+            return F.broadcast(hits).join(chunks, "doc_id").join(F.broadcast(self._books(chunks)), "book_id")
         books = self.index.books.select(F.col("id").alias("book_id"), "title", "author", "genre")
         return hits.join(chunks, "doc_id").join(books, "book_id")
 
+    def _books(self, chunks: DataFrame) -> DataFrame:
+        """The books of a few chunks."""
+        ids = [r.book_id for r in chunks.select("book_id").distinct().collect()]
+        return self.index.books.filter(F.col("id").isin(ids)).select(F.col("id").alias("book_id"), "title", "author", "genre")
+
     @staticmethod
     def _filtered(df: DataFrame, genre: str, author: str, title: str) -> DataFrame:
         for value, keep in ((genre, F.col("genre") == genre), (author, F.col("author") == author), (title, F.col("title").contains(title))):
@@ -104,16 +116,16 @@ class Engine:
         """The best ``top_k`` hits with their metadata, ties by ``doc_id``; filters are applied to those hits only, unless ``prefilter``."""
         order = [F.desc("bm25_score"), F.asc("doc_id")]
         if prefilter:
-            hits = self._filtered(self._with_metadata(self.scores(tree)), genre, author, title).orderBy(*order).limit(top_k)
+            hits = self._filtered(self.with_metadata(self.scores(tree)), genre, author, title).orderBy(*order).limit(top_k)
         else:
-            hits = self._filtered(self._with_metadata(self.scores(tree).orderBy(*order).limit(top_k)), genre, author, title)
+            hits = self._filtered(self.with_metadata(self.scores(tree).orderBy(*order).limit(top_k), few=top_k <= MOST_FETCHED), genre, author, title)
         spans = highlights(F.col("content"), list(terms)) if terms else F.array().cast(HIGHLIGHTS)
         return hits.select("doc_id", "bm25_score", "title", "author", "genre", "content", spans.alias("highlights"), "book_id", "chunk_num").orderBy(*order)
 
     def match_all(self, top_k: int = 20, genre: str = "", author: str = "", title: str = "") -> DataFrame:
         """An extension: the first records by ``doc_id`` that pass the filters, with score 0."""
         hits = self.index.chunks.select("doc_id", F.lit(0).cast("float").alias("bm25_score"))
-        return self._filtered(self._with_metadata(hits), genre, author, title).orderBy("doc_id").limit(top_k).select("doc_id", "bm25_score", "title", "author", "genre", "content", F.array().cast(HIGHLIGHTS).alias("highlights"), "book_id", "chunk_num")
+        return self._filtered(self.with_metadata(hits), genre, author, title).orderBy("doc_id").limit(top_k).select("doc_id", "bm25_score", "title", "author", "genre", "content", F.array().cast(HIGHLIGHTS).alias("highlights"), "book_id", "chunk_num")
 
 
 def search_terms(index: Index, query_terms: list[str], top_k: int = 20) -> DataFrame:

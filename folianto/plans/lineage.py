@@ -3,21 +3,27 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a folder of its own; on a cluster it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="folianto-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="folianto-"))
+    return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -43,3 +49,5 @@ def _clean() -> None:
         except Exception:  # the session is gone: the cluster's own cleaning has to do it
             return
     _written.clear()
+    for path in _own:
+        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

@@ -17,7 +17,7 @@ from folianto.functions.ranking import idf
 from folianto.functions.stemming import stem_column
 from folianto.functions.text import LOWER, UPPER, tokens
 from folianto.operators import indexing
-from folianto.operators.chunking import chunk_rows, ellipsis, sentence_column
+from folianto.operators.chunking import chunk_rows, ellipsis, sentence_rows
 from folianto.operators.indexing import Index
 from folianto.operators.search import Engine, highlight_terms, search_terms
 from folianto.plans.lineage import shared_dir
@@ -34,6 +34,11 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 @functools.lru_cache(8)
 def _index(spark: SparkSession, d: str, language: str | None = None) -> Index:
+    """The corpus as a stored index, written once for all queries of a session."""
+    return _over_texts(spark, d, language).save(spark, f"{shared_dir(spark)}/folianto-index-{uuid.uuid4().hex}")
+
+
+def _over_texts(spark: SparkSession, d: str, language: str | None = None) -> Index:
     docs = _documents(spark, d)
     return Index.over_texts(docs, "doc_id", "text", F.concat(F.lit("doc-"), "doc_id"), F.col("source"), F.col("lang"), language)
 
@@ -87,6 +92,32 @@ idf as (select term, ln((n - df + 0.5::double) / (df + 0.5::double) + 1::double)
 sc as (select doc_id, term, (idf * ((tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (tf / avgdl)))))::float as s from po join idf using (term), st)"""
 
 
+# the chunker in SQL: paragraphs are packed by a walk along each text, sentences and words of very long paragraphs by another one
+_CHUNKS = r"""src as (@source@),
+lines as (select doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: replace(replace(x, '...', '…'), '. . .', '…')), lambda x: x <> '') as ls from src),
+flat as (select doc_id, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from lines),
+sent as (select doc_id, i, line, list_filter(list_transform(string_split(regexp_replace(line, '([.!?])[ \n\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: case when ltrim(x, ' ') = '' then x else ltrim(x, ' ') end), lambda x: x <> '') as ss from flat where length(line) > 3500),
+parts as (select doc_id, i, words, case when words then list_filter(string_split(case when len(ss) = 0 then line else ss[1] end, ' '), lambda w: w <> '') else ss end as ps from (select *, len(ss) = 0 or (len(ss) = 1 and length(ss[1]) > 3500) as words from sent)),
+pk as (select doc_id, i, words, ps, 1 as k, '' as cur, []::varchar[] as done from parts
+  union all select doc_id, i, words, ps, k + 1,
+    case when alone then '' when fits then case when cur = '' then p else cur || ' ' || p end else p end,
+    case when alone then list_concat(done, case when cur = '' then [p] else [cur, p] end) when fits or cur = '' then done else list_append(done, cur) end
+  from (select *, ps[k] as p, not words and length(ps[k]) > 1800 as alone, length(cur) + length(ps[k]) + (cur <> '')::int <= case when words then 3500 else 1800 end as fits from pk where k <= len(ps))),
+packed as (select doc_id, i, case when cur = '' then done else list_append(done, cur) end as pieces from pk where k = len(ps) + 1),
+st as (select doc_id, ls, 1 as k, '' as cur, []::varchar[] as done from lines
+  union all select doc_id, ls, k + 1,
+    case when pieces is not null then '' when fits then case when length(cur) + length(line) + (cur <> '')::int >= 1800 then '' else jn end else line end,
+    case when pieces is not null then list_concat(case when cur = '' then done else list_append(done, cur) end, pieces)
+         when fits then case when length(jn) >= 1800 then list_append(done, jn) else done end when cur = '' then done else list_append(done, cur) end
+  from (select s.*, ls[k] as line, pieces, length(cur) + length(ls[k]) + (cur <> '')::int <= 3500 as fits, case when cur = '' then ls[k] else cur || chr(10) || ls[k] end as jn
+        from st s left join packed on packed.doc_id = s.doc_id and packed.i = s.k where k <= len(ls))),
+ch as (select doc_id, case when cur = '' then done when len(done) > 0 and length(cur) < 300 and length(done[-1]) + length(cur) + 1 <= 3500 then list_append(done[:-2], done[-1] || chr(10) || cur) else list_append(done, cur) end as pieces from st where k = len(ls) + 1),
+chunked as (select doc_id, (generate_subscripts(pieces, 1) - 1)::bigint as idx, unnest(pieces) as content from ch)"""
+_BOOK_ID = """(case when h >= 9223372036854775808 then h - 18446744073709551616 else h end)::bigint"""
+_BOOK_HASH = """('0x' || substr(sha256(regexp_replace(regexp_replace(translate(coalesce(file_path, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\\.gz$', ''), '\\.txt$', '')
+    || '|' || coalesce(title, '') || '|' || coalesce(author, '')), 1, 16))::ubigint::hugeint"""
+
+
 def _fold(word: str) -> str:
     return word.translate(str.maketrans(_UP, _LOW))
 
@@ -151,6 +182,20 @@ select doc_id, round(s::double, 6) as score, 'doc-' || doc_id as title, source a
 from (select * from {out} order by s desc, doc_id limit {k}) join documents using (doc_id) where {where}"""
 
 
+def _highlight_sql(line: str) -> str:
+    """Byte spans of the words in the best 50 hits: a text is split at a word, and what stands beside each cut decides."""
+    sql = _Sql()
+    out = sql.run(match(line), None)
+    words = ", ".join(f"('{w}')" for w in line.split())
+    return f"""with {_POSTINGS}, {', '.join(sql.steps)},
+hits as (select doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from (select * from {out} order by s desc, doc_id limit 50) join documents using (doc_id)),
+cuts as (select doc_id, term, string_split(t, term) as ps from hits, (values {words}) as v(term)),
+each as (select *, unnest(range(1, len(ps))) as i from cuts),
+around as (select doc_id, (list_sum(list_transform(ps[1:i], lambda x: strlen(x))) + (i - 1) * strlen(term))::bigint as "offset", strlen(term) as length,
+    case when ps[i] <> '' then right(ps[i], 1) when i > 1 then right(term, 1) else '' end as a, case when ps[i + 1] <> '' then left(ps[i + 1], 1) when i + 1 < len(ps) then left(term, 1) else '' end as b from each)
+select doc_id, "offset", length from around where not regexp_matches(a || b, '[A-Za-z0-9]')"""
+
+
 # --- analysis ---------------------------------------------------------------------------------------------------------------
 
 
@@ -209,9 +254,7 @@ def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def true_length_search(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    counted = Index(index.postings, index.lexicon, index.stats, index.chunks.withColumn("word_count", F.size(tokens(F.col("content")))), index.books, None)
-    hits = Engine(counted, "doc").execute(query_string("чердак"), 50)
+    hits = Engine(_index(spark, d), "doc").execute(query_string("чердак"), 50)
     return hits.select("doc_id", F.round(F.col("bm25_score").cast("double"), 6).alias("score"))
 
 
@@ -229,7 +272,7 @@ def match_all_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inmemory_or_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = search_terms(_index(spark, d), ["молоко", "забор", "молоко", "the"], 50)
+    hits = search_terms(_over_texts(spark, d), ["молоко", "забор", "молоко", "the"], 50)
     return hits.select("doc_id", F.round(F.col("bm25_score").cast("double"), 6).alias("score"))
 
 
@@ -275,20 +318,26 @@ def ellipsis_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    rows = _documents(spark, d).select("doc_id", F.posexplode(sentence_column(F.col("text"))).alias("pos", "sentence"))
+    rows = sentence_rows(_documents(spark, d).select("doc_id", "text"), "text")
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
+def _library(spark: SparkSession, d: str) -> Index:
+    """The stored books and chunks as an index without terms."""
+    chunks = spark.read.parquet(f"{d}/chunks.parquet").distinct()
+    books = spark.read.parquet(f"{d}/books.parquet").select("id", "title", "author", "genre").distinct()
+    return Index(chunks.limit(0), chunks.limit(0), chunks.limit(0), chunks, books, None)
+
+
 def metadata_join(spark: SparkSession, d: str) -> DataFrame:
-    chunks = spark.read.parquet(f"{d}/chunks.parquet").select("doc_id", "book_id", "chunk_num").distinct()
-    books = spark.read.parquet(f"{d}/books.parquet").select(F.col("id").alias("book_id"), "title", "author", "genre").distinct()
-    return chunks.join(books, "book_id").select("doc_id", "book_id", "chunk_num", "title", "author", "genre")
+    index = _library(spark, d)
+    return Engine(index).with_metadata(index.chunks.select("doc_id")).select("doc_id", "book_id", "chunk_num", "title", "author", "genre")
 
 
 def books_without_chunks(spark: SparkSession, d: str) -> DataFrame:
     """The books an indexing run would not skip."""
-    books = spark.read.parquet(f"{d}/books.parquet").select("id").distinct()
-    return books.join(spark.read.parquet(f"{d}/chunks.parquet").select(F.col("book_id").alias("id")).distinct(), "id", "left_anti")
+    books = spark.read.parquet(f"{d}/books.parquet").select(F.col("id").alias("book_id"))
+    return indexing.new_books(books, _library(spark, d)).select(F.col("book_id").alias("id"))
 
 
 def first_write_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -327,7 +376,7 @@ _PLAIN: dict[str, str | None] = {
         select doc_id, round(s::double, 6) as score from (select doc_id, sum((idf * ((tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (tf / avgdl))))))::float as s
         from q join po using (term) join idf using (term), st group by 1) order by s desc, doc_id limit 50""",
     "highlight_offsets": None,
-    "chunk_documents": None,
+    "chunk_documents": "with recursive " + _CHUNKS.replace("@source@", "select doc_id, text from documents") + " select doc_id, idx, content from chunked",
     "chunk_numbering": f"""with p as (select id as book_id, min(file_path) as file_path from books group by 1),
         c as (select *, len({_LIST.replace('coalesce(text', 'coalesce(content')}) as n from (select distinct doc_id, book_id, chunk_num, content from chunks) join p using (book_id))
         select doc_id as old_id, row_number() over (order by file_path, book_id, chunk_num, doc_id)::bigint as doc_id, row_number() over (partition by book_id order by chunk_num, doc_id)::bigint as chunk_num from c where n > 0""",
@@ -346,7 +395,9 @@ _PLAIN: dict[str, str | None] = {
         join (select distinct id as book_id, title, author, genre from books) using (book_id)""",
     "books_without_chunks": "select distinct id from books where id not in (select book_id from chunks where book_id is not null)",
     "first_write_wins": "select id, min(created_at) as created_at from books group by 1",
-    "incremental_append": None,
+    "incremental_append": "with recursive " + _CHUNKS.replace("@source@", f"""select doc_id, min(text) as text from (select {_BOOK_ID} as doc_id, content as text
+        from (select content, {_BOOK_HASH} as h from parsed_documents where error is null and content is not null)) group by 1""")
+        + f", w as (select distinct doc_id, idx, unnest({_LIST.replace('coalesce(text', 'coalesce(content')}) as term from chunked) select term, count(*) as df from w group by 1",
 }
 
 
@@ -355,4 +406,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in _PLAIN.items() if sql} | {name: _search_sql(*how) for name, how in SEARCHES.items()}
+    return {name: sql for name, sql in _PLAIN.items() if sql} | {"highlight_offsets": _highlight_sql("чердак market")} | {name: _search_sql(*how) for name, how in SEARCHES.items()}

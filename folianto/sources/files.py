@@ -8,6 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,10 @@ class ParserError(Exception):
     """The kind of failure: ReadError, EncodingDetectionFailed, ConversionFailed or EmptyContent."""
 
 
+class FileError(Exception):
+    """FileNotFound: the folder to be read isn't there."""
+
+
 def _weight(text: str) -> float:
     """How much a text looks like Russian: frequent letters count, capitals inside words and other signs count against it."""
     total, before = 0.0, " "
@@ -171,7 +176,13 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
     """Every ``.txt``, ``.fb2`` and ``.docx`` file under ``folder``, parsed."""
-    return parse_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileError(f"FileNotFound: {folder}") from e
+        raise
+    return parse_files(files)
 
 
 def enrich(parsed: DataFrame, genre_map: DataFrame | None = None) -> DataFrame:
