@@ -48,6 +48,9 @@ PASSING = {"prose": 0.95, "lines": 0.6}
 #: Bits of the filter of contexts: for each context, and at most. A fuller filter costs time only.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
 
+#: Code points at the end of a text in which its mark is sought; at the end of a line, in which its full stop is.
+MARK_LENGTH, STOP_LENGTH = 64, 8
+
 # Marks put after a cut, and the marks that end sentences.
 MARK = re.compile(r"(?:\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\)|<(?:\.\.\.|…)>)|�+|(?<=[^\W\d_])-|\.\.\.)\s*$")
 SENTENCE_END = re.compile(r"[.!?…][»”“\"'’)\]]*$")
@@ -64,10 +67,14 @@ _LETTER = re.compile(r"[^\W\d_]")
 def ending(text: str) -> tuple[str, str]:
     """The text without blanks at its end and without a mark of a cut, and that mark."""
     text = text.rstrip()
-    m = MARK.search(text)
+    # only the end is searched: a mark reaches the end, and a longer run of one sign is taken off in parts
+    m = MARK.search(text, max(0, len(text) - MARK_LENGTH))
     if not m:
         return text, ""
-    return text[: m.start()].rstrip(), m.group().strip()
+    core, mark = text[: m.start()].rstrip(), m.group().strip()
+    while core.endswith("�"):
+        core = core.rstrip("�").rstrip()
+    return core, mark
 
 
 def plain_blanks(text: str) -> str:
@@ -80,8 +87,10 @@ def plain_blanks(text: str) -> str:
 
 def kind_of(text: str) -> str:
     """``lines`` if most lines but the last end without a full stop (verse, lists), else ``prose``."""
-    lines = [x.strip() for x in _LINES.split(text) if x.strip()][:-1]
-    ended = sum(bool(SENTENCE_END.search(x)) for x in lines)
+    if "\n" not in text and "\r" not in text:
+        return "prose"
+    lines = [y for x in _LINES.split(text) if (y := x.strip())][:-1]
+    ended = sum([x[-1] in STOPS or SENTENCE_END.search(x, max(0, len(x) - STOP_LENGTH)) is not None for x in lines])
     return "lines" if lines and ended < 0.75 * len(lines) else "prose"
 
 
@@ -136,8 +145,11 @@ def _classes() -> np.ndarray:
     return out
 
 
-def _is(codes: np.ndarray, chars: str) -> np.ndarray:
-    return np.isin(codes, np.array([ord(c) for c in chars], np.uint32))
+@cache
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(0x10001, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
 
 
 class Pieces:
@@ -151,7 +163,8 @@ class Pieces:
         self.first = self.last + 2 - self.sizes
         self.groups = np.array(groups, np.uint64)
         self.sums = Sums(self.codes.astype(np.uint64))
-        kind = _classes()[np.minimum(self.codes, 0x10000)]
+        self.low = np.minimum(self.codes, 0x10000)
+        kind = self.kind = _classes()[self.low]
         self.letter = (kind == 1) | (kind == 2)
         shape = np.where(kind > 0, kind, self.codes + 16).astype(np.uint64)
         new = np.concatenate([[True], (shape[1:] != shape[:-1]) | (kind[1:] == 0)])
@@ -299,7 +312,7 @@ def count_contexts(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
             return np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
 
         def together() -> tuple[np.ndarray, np.ndarray]:
-            h, _, values = _summed(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held], axis=1))
+            h, _, values = _summed(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held], axis=1), np.int64)
             return h, values
 
         def add(h: np.ndarray, values: np.ndarray) -> None:
@@ -335,12 +348,12 @@ def count_contexts(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
     return counts.groupBy("h").agg(*(F.sum(c).alias(c) for c in COUNTERS))
 
 
-def _summed(h: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _summed(h: np.ndarray, values: np.ndarray, kind: type = np.int32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, where each is first, and the sums of ``values`` (counter, place)."""
     order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    return h[first], order[first], np.add.reduceat(values[:, order], first, axis=1) if len(h) else values
+    return h[first], order[first], np.stack([np.add.reduceat(v[order], first, dtype=kind) for v in values]) if len(h) else values
 
 
 def _count(pieces: Pieces, lines: np.ndarray, seen, add) -> None:
@@ -349,17 +362,17 @@ def _count(pieces: Pieces, lines: np.ndarray, seen, add) -> None:
     piece_of = np.repeat(np.arange(len(pieces.sizes)), pieces.sizes)
     inside = np.ones(n, bool)
     inside[pieces.first] = inside[pieces.last] = inside[pieces.last + 1] = False
-    after = np.append(codes[1:], 10)
-    letter = np.append(pieces.letter[1:], False)
-    stop = _is(codes, STOPS)
-    before_stop = np.append(stop[1:], False) | (after == 10)
-    closer = _is(codes, CLOSERS)
+    newline = codes == 10
+    stop, closer = _table(STOPS)[pieces.low], _table(CLOSERS)[pieces.low]
     closed = stop.copy()
     for _ in range(2):
-        closed |= closer & np.concatenate([[False], closed[:-1]])
-    blank = _classes()[np.minimum(after, 0x10000)] == 4
-    ends = np.where(lines[piece_of], (after == 10) & (codes != 10), closed & (blank | (after == 10)))
-    values = np.stack([inside, letter, before_stop, ends]).astype(np.float64) * inside
+        closed[1:] |= closer[1:] & closed[:-1]
+    values = np.zeros((len(COUNTERS), n), bool)  # what follows each character
+    values[0] = inside
+    values[1, :-1] = pieces.letter[1:]
+    values[2, :-1] = stop[1:] | newline[1:]
+    values[3, :-1] = np.where(lines[piece_of[:-1]], newline[1:] & ~newline[:-1], closed[:-1] & ((pieces.kind[1:] == 4) | newline[1:]))
+    values &= inside
     where = np.flatnonzero(inside)
     if not len(where):
         return
@@ -377,9 +390,9 @@ def _count(pieces: Pieces, lines: np.ndarray, seen, add) -> None:
             h = pieces.at(where, piece_of[where], k)
             kept = seen(h)
             where, h = where[kept], h[kept]  # a longer context is wanted only where its end is
-            add(h, values[:, where])
+            add(h, values[:, where].astype(np.int32))
     run_piece = piece_of[pieces.run_start]
-    per_run = np.add.reduceat(values, pieces.run_start, axis=1)
+    per_run = np.add.reduceat(values, pieces.run_start, axis=1, dtype=np.int32)
     run = np.arange(len(pieces.run_start))
     for k in RUNS:
         h = pieces.runs_at(run, run_piece, k)
@@ -395,7 +408,7 @@ def _count(pieces: Pieces, lines: np.ndarray, seen, add) -> None:
     for whole in (False, True):
         h = pieces.line(start, end, line_piece, whole)
         at = seen(h)
-        one = np.zeros((len(COUNTERS), len(at)))
+        one = np.zeros((len(COUNTERS), len(at)), np.int32)
         one[0] = 1
         add(h[at], one)
 
