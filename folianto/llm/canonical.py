@@ -80,7 +80,9 @@ forms as (
     union all select {_latin(_plain("wording"))}, genre_id from wordings)
   where form <> '' group by form
 ),
-vals as (select /*+ repartition(%tasks%, value) */ value from (select distinct value from @values@ where value is not null and trim(regexp_replace(value, '\\\\s+', ' ')) <> '')),
+vals as (select value from (
+  select /*+ repartition(%tasks%, deal) */ value, deal from (
+    select value, xxhash64(value) as deal from (select distinct value from @values@ where value is not null and trim(regexp_replace(value, '\\\\s+', ' ')) <> '')))),
 bare as (select value, {_bare("value")} as b, {_bare(_typed("value"))} as kb from vals),
 variants as (
   select value, variant, min(kind) as kind from bare lateral view inline(array(
@@ -130,7 +132,7 @@ def map_values(spark: SparkSession, values: DataFrame, column: str, genre_list:
     inputs are not read; empty tables give no rows, an empty list leaves every value unmatched.
     """
     sql = re.sub(r"@(\w+)@", r"{\1}", _SQL.replace("{", "{{").replace("}", "}}"))
-    # few bytes, but much work for each value: a number of tasks that isn't reduced to the bytes
+    # few bytes, but much work for each value: a number of tasks that isn't reduced to the bytes; dealt by a hash, as by the value they lie already
     sql = sql.replace("%tasks%", spark.conf.get("spark.sql.shuffle.partitions"))
     values = values.select(values[column].alias("value"))
     best = cut(spark.sql(sql + "select value, genre_id, edits from best", values=values, genre_list=genre_list, genre_map=genre_map))

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folianto.plans.lineage import cut
@@ -218,8 +218,12 @@ def learn(values: DataFrame, column: str, given_names: DataFrame) -> Lexicon:
     return Lexicon(common, short)
 
 
-def _tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """``df`` dealt out to a fixed number of tasks: few bytes, but much work for each row.
+
+    By a hash of the column: a frame whose rows were made distinct lies by the column itself already, and that exchange would be taken out.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(column))
 
 
 def radius_join(keys: DataFrame, radius: int = RADIUS, most_pivots: int = MOST_PIVOTS) -> DataFrame:
@@ -246,8 +250,8 @@ def radius_join(keys: DataFrame, radius: int = RADIUS, most_pivots: int = MOST_P
                 far += d[reach].tolist()
             yield pd.DataFrame({"key": keys, "cell": cell, "home": home, "d": far})
 
-    # a fixed number of partitions: few bytes, but much work for each; written, as a plan's estimate knows nothing of the copies
-    placed = cut(keys.repartition(_tasks(keys.sparkSession), "key").mapInPandas(cells, "key string, cell int, home boolean, d int"))
+    # written, as a plan's estimate knows nothing of the copies
+    placed = cut(dealt(keys, "key").mapInPandas(cells, "key string, cell int, home boolean, d int"))
     a = placed.filter("home").select("cell", F.col("key").alias("key_a"), F.col("d").alias("d_a"))
     b = placed.select("cell", F.col("key").alias("key_b"), F.col("d").alias("d_b"))
     met = a.join(b, "cell").filter((F.col("key_a") != F.col("key_b")) & (F.abs(F.col("d_a") - F.col("d_b")) <= radius))
@@ -275,7 +279,7 @@ def link_names(values: DataFrame, column: str, given_names: DataFrame) -> DataFr
                     rows.append((value, *p))
             yield pd.DataFrame(rows, columns=["value", "key", "rest", "first", "organisation"])
 
-    names = cut(values.repartition(_tasks(values.sparkSession), "value").mapInPandas(parsed, "value string, key string, rest array<string>, first array<string>, organisation boolean"))
+    names = cut(dealt(values, "value").mapInPandas(parsed, "value string, key string, rest array<string>, first array<string>, organisation boolean"))
     keys = names.select("key").distinct()
     near = cut(radius_join(keys))
     # two misspellings of one key may be farther from each other than either is from it
