@@ -12,21 +12,44 @@ from pyspark.sql import functions as F
 
 from folianto.functions.text import py_tokens
 from folianto.plans.lineage import cut
+from folianto.plans.sizes import broadcast_if_small
+
+
+#: Terms whose counts a worker holds before it hands them on.
+TERMS_HELD = 500_000
+#: A word is frequent from this share of the records of the most frequent word on.
+HOT_SHARE = 0.01
 
 
 def term_counts(df: DataFrame, key: str = "doc_id", content: str = "content", least: int = 1) -> DataFrame:
-    """``(key, term, tf INT, doc_len INT)`` of the default tokenizer, for terms found ``least`` times or more in the record.
+    """``(key, term, tf INT, doc_len INT, df LONG, cf LONG)`` of the default tokenizer, in one pass over the texts.
 
-    A record is one row, so its terms are counted where it was read. Null, empty and wordless texts give no rows.
+    A record is one row, so its terms are counted where it was read. Terms found ``least`` times or more in a record have a row
+    with its key; each task's records and occurrences of all terms come as rows without a key (``df``, ``cf``). Null, empty and wordless texts give no rows.
     """
     kind = df.schema[key].dataType.simpleString()
+    names = [key, "term", "tf", "doc_len", "df", "cf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records: Counter[str] = Counter()
+        occurrences: Counter[str] = Counter()
+        own = None
+
+        def held() -> pa.RecordBatch:
+            n = len(records)
+            columns = [pa.nulls(n, own), pa.array(records.keys(), pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array(records.values(), pa.int64()), pa.array((occurrences[t] for t in records), pa.int64())]
+            records.clear()
+            occurrences.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in batches:
+            own = batch.column(0).type
             rows, lens, sizes, terms, tfs = [], [], [], [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 words = py_tokens(text)
                 found = Counter(words)
+                records.update(found.keys())
+                occurrences.update(found)
                 if least > 1:
                     found = {t: n for t, n in found.items() if n >= least}
                 if found:
@@ -36,12 +59,14 @@ def term_counts(df: DataFrame, key: str = "doc_id", content: str = "content", le
                     terms.extend(found.keys())
                     tfs.extend(found.values())
             at = np.repeat(np.array(rows, np.int64), sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(np.repeat(np.array(lens, np.int32), sizes), pa.int32())],
-                [key, "term", "tf", "doc_len"],
-            )
+            columns = [batch.column(0).take(pa.array(at)), pa.array(terms, pa.string()), pa.array(tfs, pa.int32()), pa.array(np.repeat(np.array(lens, np.int32), sizes), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], names)
+            if len(records) > TERMS_HELD:
+                yield held()
+        if records:
+            yield held()
 
-    return df.select(key, content).mapInArrow(run, f"`{key}` {kind}, term string, tf int, doc_len int")
+    return df.select(key, content).mapInArrow(run, f"`{key}` {kind}, term string, tf int, doc_len int, df long, cf long")
 
 
 def _part(k: Column, n: Column, p: Column) -> Column:
@@ -69,12 +94,17 @@ def distinctive_terms(df: DataFrame, key: str = "doc_id", content: str = "conten
     counted: df, cf and the collection's length are over all records. Null, empty and wordless texts give no rows; ties
     need no rule; an empty table gives no rows.
     """
-    all_terms = term_counts(df, key, content)
-    per_term = cut(all_terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))  # one row for each word of the vocabulary
+    counted = cut(term_counts(df, key, content, least_tf))  # the texts are tokenized once
+    per_term = counted.filter("tf is null").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))  # one row for each word of the vocabulary
     total = per_term.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("total"))
+    terms = counted.filter("tf is not null").drop("df", "cf")
     if most_df is not None:
-        per_term = per_term.filter(F.col("df") <= most_df)
-    wanted = term_counts(df, key, content, least_tf) if least_tf > 1 else all_terms
-    rows = wanted.join(per_term, "term").crossJoin(F.broadcast(total))  # one row
+        rows = terms.join(per_term.filter(F.col("df") <= most_df), "term")
+    else:
+        # words that very many records share would meet in one task each: they are few, so they are joined by broadcast
+        per_term = cut(per_term)
+        often = HOT_SHARE * (per_term.agg(F.max("df")).first()[0] or 0)
+        rows = terms.join(broadcast_if_small(per_term.filter(F.col("df") >= often)), "term").unionByName(terms.join(per_term.filter(F.col("df") < often), "term"))
+    rows = rows.crossJoin(F.broadcast(total))  # one row
     score = log_likelihood_ratio(F.col("tf"), F.col("doc_len"), F.col("cf"), F.col("total"))
     return rows.select(key, "term", "tf", F.col("df").cast("long"), F.col("cf").cast("long"), score.alias("score"))
