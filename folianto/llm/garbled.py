@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
@@ -328,6 +328,20 @@ def _skeleton(line: str) -> int | None:
     return xxhash.xxh64_intdigest(rest) - (1 << 63) if len(rest) >= TWIN_LENGTH and len(rest) < len(line) else None
 
 
+def _runs(line: str, measure) -> int:
+    """A hash of the lengths of the line's non-ASCII runs."""
+    return xxhash.xxh64_intdigest(np.array([measure(x) for x in _NON_ASCII.findall(line)], np.int64).tobytes()) - (1 << 63)
+
+
+def _utf8(run: str) -> int:
+    return len(run.encode("utf-8", "replace"))
+
+
+def _utf8_twice(run: str) -> int:
+    """The length of UTF-8 read as one-byte characters and written as UTF-8 again: bytes from 0x80 on take two."""
+    return 2 * _utf8(run)
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigrams of the clean texts (at most two characters that aren't plain, no odd capitals) and the odd lines of the others."""
     n = len(_CHARS)
@@ -356,13 +370,24 @@ def _clean_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = [x for t in batch.column(0).to_pylist() if t for x in _BREAK.split(t)]
         odd, mixed = oddities(lines)
         found = [(h, lines[i]) for i in np.flatnonzero((odd + mixed) == 0).tolist() if (h := _skeleton(lines[i])) is not None]
-        hashes, lines = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(lines, pa.string())], ["h", "line"])
+        # a one-byte encoding keeps the runs' lengths, UTF-8 read as single bytes has as many characters as bytes
+        rows = [(h, _runs(x, m), x) for h, x in found for m in (len, _utf8, _utf8_twice)]
+        hashes, runs, lines = zip(*rows) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(runs, pa.int64()), pa.array(lines, pa.string())], ["h", "runs", "line"])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Align the non-ASCII runs of each garbled line with those of its clean twin."""
     chains, found = transformations(), defaultdict(int)
+    memo: dict[tuple[str, str], list[int]] = {}
+
+    def fitting(run: tuple[str, str]) -> list[int]:
+        if run not in memo:
+            if len(memo) > 100_000:
+                memo.clear()
+            memo[run] = [k for k, chain in enumerate(chains) if undo(run[0], chain) == run[1]]
+        return memo[run]
+
     for batch in batches:
         for bad, good in zip(*(c.to_pylist() for c in batch.columns[:2])):
             if any((x := oddities([good]))[0]) or any(x[1]):
@@ -371,10 +396,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(a) != len(b) or a == b:
                 continue
             runs = list(dict.fromkeys((x, y) for x, y in zip(a, b) if x != y))
-            for k, chain in enumerate(chains):
-                if any(undo(x, chain) == y for x, y in runs[:5]):  # at least 80 % must come right
-                    right = sum(undo(x, chain) == y for x, y in runs)
-                    found[k] += right >= 0.8 * len(runs)
+            for k, right in Counter(k for run in runs for k in fitting(run)).items():
+                found[k] += right >= 0.8 * len(runs)  # at least 80 % must come right
     yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([int(n) for n in found.values()], pa.int64())], ["chain", "n"])
 
 
@@ -390,10 +413,13 @@ def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
     counts = {r["value"]: r.n for r in counts.orderBy(F.desc("n"), "value").limit(MOST_BIGRAMS).collect()}
     model = Model.from_counts(counts)
 
-    bad = survey.filter("h is not null").select("h", F.col("value").alias("bad")).distinct()
-    keys = broadcast_if_small(bad.select("h").distinct())
-    good = texts.mapInArrow(_clean_lines, "h long, line string").join(keys, "h", "left_semi").groupBy("h").agg(F.min("line").alias("good"))  # one line stands for all
-    pairs = bad.join(good, "h").select("bad", "good")
+    runs = F.udf(lambda line: _runs(line, len), "long", useArrow=True)
+    bad = survey.filter("h is not null").select("h", F.col("value").alias("bad")).distinct().withColumn("runs", runs("bad"))
+    bad = cut(bad)
+    keys = broadcast_if_small(bad.select("h", "runs").distinct())
+    # every clean line with the same text around runs of the same lengths is a twin; equal lines count once
+    good = texts.mapInArrow(_clean_lines, "h long, runs long, line string").join(keys, ["h", "runs"], "left_semi").distinct()
+    pairs = bad.join(good, ["h", "runs"]).select("bad", F.col("line").alias("good"))
     if keyed is not None:
         pairs = pairs.unionByName(keyed.select("bad", "good"))
     votes = {r.chain: r.n for r in pairs.mapInArrow(_votes, "chain int, n long").groupBy("chain").agg(F.sum("n").alias("n")).collect()}
