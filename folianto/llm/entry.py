@@ -52,6 +52,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts)
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Which classes of ``p2_groups`` are linked, by their least ids."""
+    parts = [links.select(F.lit(name).alias("field"), "class_a", "class_b") for name, (links, _) in _near(spark, d).items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     fields = ("content", "title")
     model = garbled.library_model(spark, d)
@@ -68,7 +74,7 @@ def p3_texts(spark: SparkSession, d: str) -> DataFrame:
     for name in ("content", "title"):
         table, key = FIELDS[name]
         texts = lookalikes.normalize(_table(spark, d, table), key, name)
-        parts.append(texts.select(F.lit(name).alias("field"), F.col(key).alias("rec_id"), F.col(name).alias("text"), "is_case"))
+        parts.append(texts.select(F.lit(name).alias("field"), F.col(key).alias("rec_id"), F.col(name).alias("text"), "is_case").dropDuplicates(["rec_id"]))
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -144,7 +150,7 @@ def p10_by_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p3_found, p3_texts, p4_found, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids, p9_pack, p9_report, p10_found, p10_by_source)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_groups, p2_links, p3_found, p3_texts, p4_found, p5_found, p5_unmatched, p6_found, p6_restored, p7_found, p7_scores, p8_ids, p9_pack, p9_report, p10_found, p10_by_source)}
 
 
 _TERMS = r"""

@@ -59,21 +59,25 @@ def double_of() -> dict[tuple[str, str], str]:
 def mapping() -> dict[str, str]:
     """Cluster to its form, for all rules that need no context."""
     table: dict[str, str] = dict.fromkeys(INVISIBLE, "") | dict.fromkeys(BLANKS, " ")
+
+    def add(cluster: str, form: str) -> None:
+        if table.setdefault(cluster, form) != form:
+            raise ValueError(f"conflicting rules for {cluster!r}: {table[cluster]!r}, {form!r}")
+
     for low, high in PRESENTATION:
         for code in range(low, high):
             ch = chr(code)
             form = unicodedata.normalize("NFKC", ch)
             if form != ch and ch not in KEEP and not form.isspace():
-                if table.setdefault(ch, form) != form:
-                    raise ValueError(f"conflicting rules for {ch!r}")
+                add(ch, form)
     for low, high in ((0x41, 0x250), (0x370, 0x530), (0x1E00, 0x2000)):
         for code in range(low, high):
             ch = chr(code)
             parts = unicodedata.normalize("NFD", ch)
             if len(parts) > 1 and unicodedata.normalize("NFC", parts) == ch:
-                table[parts] = ch
+                add(parts, ch)
                 for k in range(2, len(parts)):  # part of it composed already
-                    table[unicodedata.normalize("NFC", parts[:k]) + parts[k:]] = ch
+                    add(unicodedata.normalize("NFC", parts[:k]) + parts[k:], ch)
     return table
 
 
