@@ -423,8 +423,10 @@ def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
     if keyed is not None:
         pairs = pairs.unionByName(keyed.select("bad", "good"))
     votes = {r.chain: r.n for r in pairs.mapInArrow(_votes, "chain int, n long").groupBy("chain").agg(F.sum("n").alias("n")).collect()}
-    chains, total = transformations(), sum(votes.values())
-    model.weights = {c: max(UNSEEN, math.log((votes.get(k, 0) + 0.01) / (total + 1.0))) for k, c in enumerate(chains)}
+    model.votes = {c: votes.get(k, 0) for k, c in enumerate(transformations())}
+    total = sum(votes.values())
+    # what no twin has shown isn't looked for; a collection without any twin has nothing to learn from, so all compete as equals
+    model.weights = {c: math.log((n + 0.01) / (total + 1.0)) if n else UNSEEN for c, n in model.votes.items() if n or not total}
     return model
 
 
