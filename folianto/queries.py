@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folianto.functions.ranking import idf
@@ -21,13 +21,18 @@ from folianto.operators.chunking import chunk_rows, ellipsis, sentence_rows
 from folianto.operators.indexing import Index
 from folianto.operators.search import Engine, highlight_terms, search_terms
 from folianto.plans.lineage import shared_dir
-from folianto.plans.query import And, Node, Not, Or, Phrase, Term, match, match_phrase, query_string
+from folianto.plans.query import And, Node, Not, Or, Phrase, Term, match, match_phrase, query_string, words_in
 from folianto.plans.sizes import spread
+from folianto.sources.files import parse_files
 from folianto.sources.metadata import book_id, file_name, filename_fields, map_genre
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Characters that Windows-1251 has, as used in Russian text.
+_CP1251 = "\\x00-\\x7F\u0401\u0410-\u044F\u0451«»—–…„“”№’‘"
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     return spread(spark.read.parquet(f"{d}/documents.parquet"))
 
@@ -84,12 +89,25 @@ _CLASS = r"\x{0400}-\x{04FF}A-Za-z\x{00C0}-\x{024F}\x{0370}-\x{03FF}"
 _LIST = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[{_CLASS}0-9]+')"
 _TOKENS = f"""d as (select doc_id, {_LIST} as ts from documents),
 tk as (select doc_id, unnest(ts) as term, generate_subscripts(ts, 1) - 1 as pos from d)"""
-_POSTINGS = f"""{_TOKENS},
-po as (select doc_id, term, count(*) as tf from tk group by 1, 2),
+_RANKED = """po as (select doc_id, term, count(*) as tf from tk group by 1, 2),
 le as (select term, count(*) as df from po group by 1),
 st as (select count(*) as n, sum(len(ts))::double / count(*) as avgdl from d where len(ts) > 0),
 idf as (select term, ln((n - df + 0.5::double) / (df + 0.5::double) + 1::double) as idf from le, st),
 sc as (select doc_id, term, (idf * ((tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (tf / avgdl)))))::float as s from po join idf using (term), st)"""
+_POSTINGS = f"{_TOKENS},\n{_RANKED}"
+
+# the public Russian stemming rules as steps on the part of a word behind its first vowel; ``vocabulary`` holds the words
+_STEMS = r"""words as (select term, regexp_extract(term, '^[^@V@]*[@V@]') as pre, regexp_extract(term, '^[^@V@]*[@V@]+[^@V@]') as m1 from vocabulary),
+regions as (select *, case when m1 = '' then '' else regexp_extract(substr(term, length(m1) + 1), '^[^@V@]*[@V@]+[^@V@]') end as m2 from words),
+s0 as (select term, case when pre = '' then term else pre end as pre, case when pre = '' then '' else substr(term, length(pre) + 1) end as rv, case when m2 = '' then length(term) else length(m1) + length(m2) end as p2 from regions),
+s1 as (select *, regexp_replace(rv, '(([ая])(вшись|вши|в)|(ившись|ивши|ив|ывшись|ывши|ыв))$', '\2') as gerund, regexp_replace(rv, '(ся|сь)$', '') as rest from s0),
+s2 as (select *, regexp_replace(rest, '(ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею)$', '') as adjective from s1),
+s3 as (select *, regexp_replace(adjective, '(([ая])(ем|нн|вш|ющ|щ)|(ивш|ывш|ующ))$', '\2') as adjectival,
+  regexp_replace(rest, '(([ая])(ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно)|(ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ят|ует|уют|ит|ыт|ены|ить|ыть|ишь|ую|ю))$', '\2') as verb,
+  regexp_replace(rest, '(а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я)$', '') as noun from s2),
+s4 as (select term, pre, p2, regexp_replace(case when gerund <> rv then gerund when adjective <> rest then adjectival when verb <> rest then verb else noun end, 'и$', '') as x from s3),
+s5 as (select term, pre, case when x like '%ость' and length(pre) + length(x) - 4 >= p2 then x[:-5] when x like '%ост' and length(pre) + length(x) - 3 >= p2 then x[:-4] else x end as x from s4),
+stems as (select term, pre || case when regexp_matches(x, 'ейше?$') then regexp_replace(regexp_replace(x, 'ейше?$', ''), 'нн$', 'н') when x like '%нн' then x[:-2] when x like '%ь' then x[:-2] else x end as stem from s5)""".replace("@V@", "аеиоуыэюя")
 
 
 # the chunker in SQL: paragraphs are packed by a walk along each text, sentences and words of very long paragraphs by another one
@@ -123,8 +141,9 @@ def _fold(word: str) -> str:
 
 
 class _Sql:
-    def __init__(self) -> None:
+    def __init__(self, term: Callable[[str], str] = lambda word: f"'{_fold(word)}'") -> None:
         self.steps: list[str] = []
+        self.term = term
         self.names = (f"r{i}" for i in count())
 
     def step(self, sql: str) -> str:
@@ -143,7 +162,7 @@ class _Sql:
     def run(self, node: Node, acc: str | None) -> str | None:
         match node:
             case Term(text):
-                return self.plus(acc, self.step(f"select doc_id, s from sc where term = '{_fold(text)}'"))
+                return self.plus(acc, self.step(f"select doc_id, s from sc where term = {self.term(text)}"))
             case Phrase(positions):
                 first = [_fold(w) for w in positions[0]]
                 joins = "".join(
@@ -182,6 +201,20 @@ select doc_id, round(s::double, 6) as score, 'doc-' || doc_id as title, source a
 from (select * from {out} order by s desc, doc_id limit {k}) join documents using (doc_id) where {where}"""
 
 
+def _stemmed_sql(query: str, k: int) -> str:
+    """A search over stems; the query's words are stemmed by the same steps."""
+    sql = _Sql(lambda word: f"(select stem from stems where term = '{_fold(word)}')")
+    tree = query_string(query)
+    out = sql.run(tree, None)
+    words = ", ".join(f"('{_fold(w)}')" for w in words_in(tree))
+    return f"""with {_TOKENS.replace('tk as (', 'tk0 as (')},
+vocabulary as (select term from tk0 union values {words}),
+{_STEMS},
+tk as (select doc_id, stem as term, pos from tk0 join stems using (term)),
+{_RANKED}, {', '.join(sql.steps)}
+select doc_id, round(s::double, 6) as score, 'doc-' || doc_id as title from {out} order by s desc, doc_id limit {k}"""
+
+
 def _highlight_sql(line: str) -> str:
     """Byte spans of the words in the best 50 hits: a text is split at a word, and what stands beside each cut decides."""
     sql = _Sql()
@@ -248,8 +281,15 @@ def stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return words.select("term", stem_column(F.col("term"), "russian").alias("russian"), stem_column(F.col("term"), "english").alias("english"))
 
 
+def stem_russian(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).lexicon.select("term", stem_column(F.col("term"), "russian").alias("stem"))
+
+
+STEMMED = "чердаками | деревне"
+
+
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = Engine(_index(spark, d, "russian")).execute(query_string("чердаками | деревне"), 50)
+    hits = Engine(_index(spark, d, "russian")).execute(query_string(STEMMED), 50)
     return hits.select("doc_id", F.round(F.col("bm25_score").cast("double"), 6).alias("score"), "title")
 
 
@@ -287,6 +327,36 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "content")
 
 
+def txt_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as the bytes of a text file in UTF-8, parsed."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    files = _documents(spark, d).select(F.concat(F.lit("/doc-"), "doc_id", F.lit(".txt")).alias("path"), text.alias("content"))
+    return parse_files(files).select("file_path", "title", "content", "encoding", "error")
+
+
+def txt_parse_cp1251(spark: SparkSession, d: str) -> DataFrame:
+    """Every Russian text that Windows-1251 can hold as the bytes of a file in it: encoding detected, text restored."""
+    high = "".join(map(chr, [0x401, *range(0x410, 0x450), 0x451])) + "«»–—…„“”№’‘"
+    docs = _documents(spark, d).filter(F.col("text").rlike(f"^[{_CP1251}]*$") & (F.length(F.regexp_replace("text", "[^а-яё]", "")) >= 20))
+    files = docs.select(F.concat(F.lit("/doc-"), "doc_id", F.lit(".txt")).alias("path"), F.encode(F.translate("text", high, high.encode("cp1251").decode("latin-1")), "ISO-8859-1").alias("content"))
+    return parse_files(files).select("file_path", "content", "encoding")
+
+
+def fb2_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Every book's title and author as an FB2 file, parsed."""
+    books = spread(spark.read.parquet(f"{d}/books.parquet")).select("id", "title", "author").distinct()
+    books = books.filter(F.col("title").rlike(r"[\p{L}\p{N}]") & ~F.concat("title", F.coalesce("author", F.lit(""))).rlike(r"[\x00-\x1f\x7f-\x9f\x{fffe}\x{ffff}]"))
+
+    def escaped(column: str) -> Column:
+        return F.replace(F.replace(F.replace(F.coalesce(column, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+    parts = ["<?xml version='1.0' encoding='UTF-8'?><FictionBook><description><title-info><author><last-name>", escaped("author"), "</last-name></author><book-title>", escaped("title"),
+             "</book-title></title-info></description><body><section><p>", escaped("title"), "</p><p>", F.col("id").cast("string"), "</p></section></body></FictionBook>"]
+    xml = F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    files = books.select(F.concat(F.lit("/"), "id", F.lit(".fb2")).alias("path"), F.encode(xml, "UTF-8").alias("content"))
+    return parse_files(files).select("file_path", "title", "author", "content", "encoding")
+
+
 def chunk_numbering(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the stored books numbered anew, in the order of their stored numbers."""
     df = spark.read.parquet(f"{d}/chunks.parquet").select(F.col("doc_id").alias("old_id"), "book_id", F.col("chunk_num").alias("idx"), "content").distinct()
@@ -366,6 +436,7 @@ _PLAIN: dict[str, str | None] = {
     "corpus_stats": f"with {_TOKENS} select count(*) as doc_count, sum(len(ts))::bigint as total_term_count, round(sum(len(ts))::double / count(*), 6) as avg_doc_length from d where len(ts) > 0",
     "idf_table": f"with {_POSTINGS} select term, round(idf, 6) as idf from idf",
     "stem_vocabulary": None,
+    "stem_russian": f"with {_TOKENS}, vocabulary as (select distinct term from tk), {_STEMS} select term, stem from stems",
     "stemmed_search": None,
     "true_length_search": f"""with {_POSTINGS} select doc_id, round(s::double, 6) as score from (select doc_id,
         (idf * ((tf * 2.2::double) / (tf + 1.2::double * (0.25::double + 0.75::double * (len(ts) / avgdl)))))::float as s from po join idf using (term) join d using (doc_id), st where term = 'чердак') order by s desc, doc_id limit 50""",
@@ -377,6 +448,13 @@ _PLAIN: dict[str, str | None] = {
         from q join po using (term) join idf using (term), st group by 1) order by s desc, doc_id limit 50""",
     "highlight_offsets": None,
     "chunk_documents": "with recursive " + _CHUNKS.replace("@source@", "select doc_id, text from documents") + " select doc_id, idx, content from chunked",
+    "txt_parse": r"""with t as (select 'doc-' || doc_id || '.txt' as name, coalesce(text, '') as t from documents), u as (select name, t, case when t[1] = chr(65279) then t[2:] else t end as u from t)
+        select name as file_path, case when u <> '' then name end as title, case when u <> '' then u end as content,
+        case when u = '' then null when regexp_full_match(t, '[\x00-\x7F]*') then 'ASCII' else 'UTF-8' end as encoding, case when u = '' then 'EmptyContent' end as error from u""",
+    "txt_parse_cp1251": f"""select 'doc-' || doc_id || '.txt' as file_path, text as content, 'CP1251' as encoding from documents
+        where regexp_full_match(text, '[{_CP1251}]*') and length(regexp_replace(text, '[^а-яё]', '', 'g')) >= 20""",
+    "fb2_parse": r"""select id || '.fb2' as file_path, title, case when regexp_matches(author, '[^\s\p{Z}]') then author else '' end as author, title || chr(10) || id as content, 'UTF-8' as encoding
+        from (select distinct id, title, author from books) where regexp_matches(title, '[\p{L}\p{N}]') and not regexp_matches(title || coalesce(author, ''), '[\x00-\x1f\x7f-\x9f\x{fffe}\x{ffff}]')""",
     "chunk_numbering": f"""with p as (select id as book_id, min(file_path) as file_path from books group by 1),
         c as (select *, len({_LIST.replace('coalesce(text', 'coalesce(content')}) as n from (select distinct doc_id, book_id, chunk_num, content from chunks) join p using (book_id))
         select doc_id as old_id, row_number() over (order by file_path, book_id, chunk_num, doc_id)::bigint as doc_id, row_number() over (partition by book_id order by chunk_num, doc_id)::bigint as chunk_num from c where n > 0""",
@@ -406,4 +484,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in _PLAIN.items() if sql} | {"highlight_offsets": _highlight_sql("чердак market")} | {name: _search_sql(*how) for name, how in SEARCHES.items()}
+    later = {"highlight_offsets": _highlight_sql("чердак market"), "stemmed_search": _stemmed_sql(STEMMED, 50)}
+    return {name: sql for name, sql in _PLAIN.items() if sql} | later | {name: _search_sql(*how) for name, how in SEARCHES.items()}
