@@ -201,6 +201,23 @@ def test_canonical_values(spark):
     assert {r.genre_id for r in canonical.map_books(spark, books.filter("genre = 'лирика'"), genres.limit(0), other).collect()} == {0}
 
 
+def test_work_is_dealt_out(spark):
+    """Distinct rows dealt out by their own column lie in several tasks, also with adaptive execution."""
+    keys = frame(spark, [(f"k{i % 500}",) for i in range(1000)], "key string").distinct()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = names.dealt(keys, "key").mapInPandas(lambda it: (p.iloc[:1] for p in it), "key string").collect()
+    assert tasks > 1 and len(out) == tasks
+
+
+def test_twins_of_one_skeleton_all_vote(spark):
+    """Of several clean lines with the same text around their other letters, each is a twin."""
+    clean = [f"2001, 2002, {w} (12345678)" for w in ("домик", "лодка", "весна", "книга")]
+    bad = clean[3].encode("utf-8").decode("cp1251")
+    df = frame(spark, [(x,) for x in (*clean, bad)], "t string")
+    model = garbled.fit(df, "t")
+    assert model.votes[(("cp1251", "utf-8"),)] == 1
+
+
 def test_genres_of_one_letter(spark):
     """A value is blank by its blanks, not by the letter of the pattern for them."""
     genres, other = frame(spark, [(1, "Лирика")], "genre_id int, genre string"), frame(spark, [], "original string, mapped string")

@@ -142,6 +142,55 @@ def test_packing_plan(seed):
         packing.plan({65: 1}, 64)
 
 
+def test_tiers_shape_the_plan():
+    """Windows of the shorter tiers lie side by side, no text crosses one, and without tiers the plan is another."""
+    r = random.Random(3)
+    counts = {}
+    for _ in range(20_000):
+        size = min(2048, max(1, int(r.lognormvariate(5.8, 0.9))))
+        counts[size] = counts.get(size, 0) + 1
+    slots, n = packing.plan(counts)
+    assert {s.window for s in slots} == {256, 512, 1024, 2048}
+    assert all(s.offset // s.window == (s.offset + s.copies * s.size - 1) // s.window for s in slots)
+    flat, m = packing.plan(counts, windows=[2048])
+    assert [(s.size, s.first, s.offset) for s in slots] != [(s.size, s.first, s.offset) for s in flat]
+    tokens = sum(s * k for s, k in counts.items())
+    assert tokens / (2048 * n) > 0.99 and tokens / (2048 * m) > 0.99
+
+
+def test_shares_have_lower_bounds():
+    k, n = np.array([0, 1, 3, 300, 0]), np.array([0, 1, 3, 300, 50])
+    low = truncated.lower_bound(k, n, 3.0)
+    assert low[0] == 0 and low[4] == 0 and 0 < low[1] < low[2] < low[3] < 1
+
+
+def test_contexts_of_a_text_are_found_in_others():
+    """A context has the same hash wherever it stands, and another one in another group."""
+    a, b = truncated.Pieces(["он ушёл домой"], [0]), truncated.Pieces(["вот.\nи он ушёл домой рано", "ушёл"], [0, 1])
+    text = "\nвот.\nи он ушёл домой рано\n"
+    at = np.array([text.index("домой") + 4])
+    zero = np.array([0])
+    for k in (1, 4, 9):
+        assert a.at(a.last, zero, k)[0] == b.at(at, zero, k)[0]
+    assert a.runs_at(a.run_of[a.last], zero, 4)[0] == b.runs_at(b.run_of[at], zero, 4)[0]
+    assert a.at(a.last, zero, 1)[0] != b.at(b.last[1:], np.array([1]), 1)[0]
+
+
+def test_language_of_texts():
+    assert [truncated.language_of(x) for x in ("Он был в доме и пел", "the cat of a house", "der Hund und die Katze", "le chat et la souris", "Привет", "Hm")] == ["ru", "en", "de", "fr", "ru", "other"]
+    assert truncated.plain_blanks("а \t б\r\n\tв \n") == "а б\nв\n"
+
+
+def test_cuts_are_told_from_whole_ends():
+    """The share of cut texts among the ends is found, and the threshold parts them."""
+    r = np.random.default_rng(5)
+    whole, cuts, more = r.normal(-3, 1, (900, 6)), r.normal(3, 1, (100, 6)), r.normal(3, 1, (1000, 6))
+    x = np.concatenate([whole, cuts, more]) * np.where(truncated.DIRECTIONS == 0, 1, truncated.DIRECTIONS)
+    w, share = truncated.fit_group(x[:, :5], np.arange(2000) >= 1000)
+    score = x[:, :5] @ w[:-1] + w[-1]
+    assert 0.08 < share < 0.2 and (score[:900] < 0).all() and (score[900:] > 0).mean() > 0.99
+
+
 def test_endings():
     assert truncated.ending("текст [...]  ") == ("текст", "[...]")
     assert truncated.ending("тек-\n") == ("тек", "-")
