@@ -229,7 +229,7 @@ def _tails(texts: list[str | None], chosen: list[int]) -> list[tuple]:
             core, mark = core[:-1].rstrip() or core, "…"
         lang = language_of(clean)
         for artificial in (False, True)[: 1 + bool(pick and not mark)]:
-            c, ns = core, (0, 0, 0)
+            c, ns = core, (0, int(mark == "…"), 0)  # an ellipsis is a full stop inside its text as well
             if artificial:
                 k = 1 + pick % max(1, len(core) - 1)
                 if (pick >> 40) % WORD_ENDS == 0:  # some limits spare words
@@ -571,10 +571,11 @@ def _dense(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     own = np.stack([np.array(batch.column(c).to_pylist(), float) for c in ("next_letter", "next_stop")], axis=1)
     # a place inside a text was counted itself; the beginning of a line that goes on, too
     places = [i for i, (kind, _) in enumerate(CONTEXTS) if kind != "line"]
-    at = np.ix_(artificial, places)
+    inner = artificial | (np.array(batch.column("mark").to_pylist()) == "…")
+    at = np.ix_(inner, places)
     out[..., 0][at] -= known[at]
     for c in range(2):
-        out[..., c + 1][at] -= own[artificial, c][:, None] * known[at]
+        out[..., c + 1][at] -= own[inner, c][:, None] * known[at]
     line = CONTEXTS.index(("line", 0))
     same = np.array(batch.column("same_line").to_pylist(), float)
     out[artificial, line, 0] -= known[artificial, line] * (1 - same[artificial])
@@ -618,9 +619,12 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame,
         alone = F.when((F.col("lang") == lang) & (F.col("kind") == kind) & (F.col("last_letter") == last), total).otherwise(alone)
 
     real = scored.filter("not artificial")
-    # the share of texts with this mark whose text before it goes on more often than a full stop follows
+    # the share of cut ones among the texts with a mark: of those that go on more likely than a full stop follows, against the share of these among artificial cuts
+    among = scored.filter("artificial").groupBy("kind").agg(F.avg((F.col("x_stop") < 0).cast("double")).alias("f"))
     marked = real.filter("mark <> ''").groupBy("lang", "kind", "mark").agg(F.count("*").alias("n"), F.count(F.when(F.col("x_stop") < 0, 1)).alias("k"))
-    marked = marked.select("lang", "kind", "mark", ((F.col("k") + 1) / (F.col("n") + 2)).alias("share"))
+    marked = marked.join(F.broadcast(among), "kind", "left")  # one row for each kind
+    share = F.least((F.col("n") + 1) / (F.col("n") + 2), (F.col("k") + 1) / (F.col("n") + 2) / F.greatest(F.coalesce("f", F.lit(1.0)), F.lit(0.5)))
+    marked = marked.select("lang", "kind", "mark", share.alias("share"))
     real = real.join(broadcast_if_small(marked), ["lang", "kind", "mark"], "left")
     odds = F.when(F.col("lang").isNull(), F.lit(-20.0)).when(F.col("share").isNotNull(), _logit(F.col("share")) - F.col("x_stop")).otherwise(alone)
     return real.withColumn("log_odds", odds).drop("share"), weights
