@@ -14,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cache, lru_cache
 
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from folianto.plans.lineage import cut
 from folianto.plans.sizes import broadcast_if_small, spread
 
+from .filters import hash_filter, passing
+
 # Encodings a text may have been written in, and those it may have been read in.
 WRITTEN = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "cp1252")
 READ = ("latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac-cyrillic", "mac-roman", "iso8859-5")
@@ -365,15 +367,21 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array([_CHARS[i // n] + _CHARS[i % n] for i in at], pa.string()), pa.array(total[at], pa.int64())], ["h", "value", "n"])
 
 
-def _clean_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lines = [x for t in batch.column(0).to_pylist() if t for x in _BREAK.split(t)]
-        odd, mixed = oddities(lines)
-        found = [(h, lines[i]) for i in np.flatnonzero((odd + mixed) == 0).tolist() if (h := _skeleton(lines[i])) is not None]
-        # a one-byte encoding keeps the runs' lengths, UTF-8 read as single bytes has as many characters as bytes
-        rows = [(h, _runs(x, m), x) for h, x in found for m in (len, _utf8, _utf8_twice)]
-        hashes, runs, lines = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(runs, pa.int64()), pa.array(lines, pa.string())], ["h", "runs", "line"])
+def _clean_lines(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Clean lines whose rest without other letters passes the filter of odd lines, by the lengths of runs they may have been garbled to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [x for t in batch.column(0).to_pylist() if t for x in _BREAK.split(t)]
+            odd, mixed = oddities(lines)
+            found = [(h, lines[i]) for i in np.flatnonzero((odd + mixed) == 0).tolist() if (h := _skeleton(lines[i])) is not None]
+            kept = passing(shared.value, np.array([h for h, _ in found], np.int64).view(np.uint64)).tolist() if found else []
+            # a one-byte encoding keeps the runs' lengths, UTF-8 read as single bytes has as many characters as bytes
+            rows = [(h, _runs(x, m), x) for h, x in (found[i] for i in kept) for m in (len, _utf8, _utf8_twice)]
+            hashes, runs, lines = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(runs, pa.int64()), pa.array(lines, pa.string())], ["h", "runs", "line"])
+
+    return run
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +426,8 @@ def fit(texts: DataFrame, column: str, keyed: DataFrame | None = None) -> Model:
     bad = cut(bad)
     keys = broadcast_if_small(bad.select("h", "runs").distinct())
     # every clean line with the same text around runs of the same lengths is a twin; equal lines count once
-    good = texts.mapInArrow(_clean_lines, "h long, runs long, line string").join(keys, ["h", "runs"], "left_semi").distinct()
+    wanted = texts.sparkSession.sparkContext.broadcast(hash_filter(bad.select("h"), bad.count()))
+    good = texts.mapInArrow(_clean_lines(wanted), "h long, runs long, line string").join(keys, ["h", "runs"], "left_semi").distinct()
     pairs = bad.join(good, ["h", "runs"]).select("bad", F.col("line").alias("good"))
     if keyed is not None:
         pairs = pairs.unionByName(keyed.select("bad", "good"))

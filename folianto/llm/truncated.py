@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from folianto.plans.lineage import cut
 from folianto.plans.sizes import broadcast_if_small
 
+from .filters import hash_filter, passing
+
 #: Lengths of the contexts in characters (0: the whole group), and in runs of like characters.
 ORDERS, RUNS = (0, 1, 2, 3, 4, 6, 9), (4, 7)
 #: Contexts from this length on are counted for ends without a full stop only: a full stop has told enough.
@@ -45,9 +47,6 @@ FIT_ROWS, ROUNDS, OWN_ROWS = 40_000, 4, 30
 WORD_ENDS = 3
 #: Least share of artificial cuts that must pass the limits by which the share of cut texts is found; many cuts in verse look like ends of lines.
 PASSING = {"prose": 0.95, "lines": 0.6}
-#: Bits of the filter of contexts: for each context, and at most. A fuller filter costs time only.
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 28
-
 #: Code points at the end of a text in which its mark is sought; at the end of a line, in which its full stop is.
 MARK_LENGTH, STOP_LENGTH = 64, 8
 
@@ -281,17 +280,6 @@ def read_ends(df: DataFrame, key: str, text: str, source: str, rows: int) -> Dat
     return df.select(key, text, source).mapInArrow(run, schema)
 
 
-def wanted_filter(ends: DataFrame, n: int) -> np.ndarray:
-    """Bits set for the contexts of ``ends``, put together by the executors: at most ``MOST_FILTER_BITS``."""
-    bits = 1 << min(MOST_FILTER_BITS.bit_length() - 1, max(16, (FILTER_BITS * max(1, n)).bit_length()))
-    shift = 65 - bits.bit_length()
-    h = ends.select(F.explode("contexts").alias("h")).filter("h is not null").select(F.shiftrightunsigned("h", shift).alias("h"))
-    words = h.groupBy(F.shiftright("h", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("b")).toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
-    return out
-
-
 #: What is counted of a context inside texts: all, before a letter, before a full stop or line end, at an end of a sentence or line.
 COUNTERS = ("inside", "letter", "stop", "ends")
 #: Place of the number of different texts that end with a context, behind the counters.
@@ -304,12 +292,10 @@ def count_contexts(df: DataFrame, text: str, wanted: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        shift = np.uint64(64 - (len(bits) * 64).bit_length() + 1)
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def seen(h: np.ndarray) -> np.ndarray:
-            at = h >> shift
-            return np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+            return passing(bits, h)
 
         def together() -> tuple[np.ndarray, np.ndarray]:
             h, _, values = _summed(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held], axis=1), np.int64)
@@ -606,7 +592,7 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame,
     """Every text with its ``log_odds`` of being cut, by its end alone, and the fitted weights."""
     rows = df.count()
     ends = cut(read_ends(df, key, text, source, rows).withColumn("uid", F.monotonically_increasing_id()))
-    counts = count_contexts(df, text, wanted_filter(ends, 4 * rows))
+    counts = count_contexts(df, text, hash_filter(ends.select(F.explode("contexts").alias("h")).filter("h is not null"), 4 * rows))
     scored = cut(_with_features(_with_counts(ends, counts)))
     x_names = [f"x_{c}" for c in FEATURES]
     # at most about FIT_ROWS texts, and as many cut ones
