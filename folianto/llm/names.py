@@ -24,7 +24,7 @@ from folianto.plans.lineage import cut
 from .canonical import TRANSLIT_MANY, TRANSLIT_ONE
 
 #: Radius of the join; most pivots; keys for each pivot; most given names and patronymics that are told by their frequency.
-RADIUS, MOST_PIVOTS, KEYS_PER_PIVOT, MOST_COMMON = 2, 1024, 8, 2048
+RADIUS, MOST_PIVOTS, KEYS_PER_PIVOT, MOST_COMMON = 2, 1024, 8, 20_000
 #: A word beside at least so many different keys is a given name or patronymic.
 COMMON_BESIDE = 6
 
