@@ -269,7 +269,9 @@ def read_ends(df: DataFrame, key: str, text: str, source: str, rows: int) -> Dat
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 texts = part.column(1).to_pylist()
-                chosen = [h >> 8 if t and (h := xxhash.xxh64_intdigest(t[-200:])) % every == 0 else 0 for t in texts]
+                # by key and text, so that copies of one text aren't all chosen
+                keys = part.column(0).to_pylist()
+                chosen = [h >> 8 if t and (h := xxhash.xxh64_intdigest(f"{k}\n{t[-200:]}".encode("utf-8", "replace"))) % every == 0 else 0 for k, t in zip(keys, texts)]
                 out = _tails(texts, chosen)
                 # an artificial row follows the row of its text
                 index = pa.array(np.cumsum([not r[0] for r in out], dtype=np.int64) - 1)
@@ -595,8 +597,8 @@ def judged(df: DataFrame, key: str, text: str, source: str) -> tuple[DataFrame,
     counts = count_contexts(df, text, hash_filter(ends.select(F.explode("contexts").alias("h")).filter("h is not null"), 4 * rows))
     scored = cut(_with_features(_with_counts(ends, counts)))
     x_names = [f"x_{c}" for c in FEATURES]
-    # at most about FIT_ROWS texts, and as many cut ones
-    sample = scored.filter("mark = '' and lang is not null and chosen").select("artificial", "lang", "kind", "last_letter", *x_names).toPandas()
+    # about FIT_ROWS texts, and as many cut ones; the limit only holds off rows repeated without end
+    sample = scored.filter("mark = '' and lang is not null and chosen").select("artificial", "lang", "kind", "last_letter", *x_names).limit(8 * FIT_ROWS).toPandas()
     columns = (sample[c].to_numpy() for c in ("lang", "kind", "last_letter"))
     weights = fit_weights(sample[x_names].to_numpy(float).reshape(-1, len(x_names)), sample["artificial"].to_numpy(bool), *columns)
     alone = F.lit(-1.0)
