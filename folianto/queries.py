@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folianto.functions.ranking import idf
-from folianto.functions.stemming import stem_column
+from folianto.functions.stemming import EN_KEPT, EN_SPECIAL, EN_STEP2, EN_STEP3, EN_STEP4, stem_column
 from folianto.functions.text import LOWER, UPPER, tokens
 from folianto.operators import indexing
 from folianto.operators.chunking import chunk_rows, ellipsis, sentence_rows
@@ -201,6 +201,40 @@ select doc_id, round(s::double, 6) as score, 'doc-' || doc_id as title, source a
 from (select * from {out} order by s desc, doc_id limit {k}) join documents using (doc_id) where {where}"""
 
 
+def _english_sql() -> str:
+    """The public English stemming rules as steps over ``vocabulary``; the endings are the stemmer's fixed values."""
+
+    def ending(word: str, endings: Iterable[str]) -> str:
+        return f"regexp_extract({word}, '({'|'.join(endings)})$')"
+
+    def replaced(e: str, table: dict[str, str]) -> str:
+        return f"case {e} " + " ".join(f"when '{a}' then '{b}'" for a, b in table.items()) + " end"
+
+    region, short = "'^[^aeiouy]*[aeiouy]+[^aeiouy]'", "(regexp_matches({0}, '^[aeiouy][^aeiouy]$') or regexp_matches({0}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+    special = " ".join(f"when '{a}' then '{b}'" for a, b in EN_SPECIAL.items())
+    kept = ", ".join(f"'{w}'" for w in EN_KEPT)
+    return f"""e0 as (select term, case term {special} end as special, array_to_string(list_transform(range(1, length(term) + 1), lambda i: case when term[i] = 'y' and (i = 1 or term[i - 1] in ('a', 'e', 'i', 'o', 'u', 'y')) then 'Y' else term[i] end), '') as w from vocabulary),
+e1 as (select *, case when regexp_matches(w, '^(gener|arsen)') then 5 when starts_with(w, 'commun') then 6 when regexp_matches(w, {region}) then length(regexp_extract(w, {region})) else length(w) end as r1 from e0),
+e2 as (select *, case when regexp_matches(substr(w, r1 + 1), {region}) then r1 + length(regexp_extract(substr(w, r1 + 1), {region})) else length(w) end as r2,
+  case when w like '%sses' then w[:-3] when regexp_matches(w, 'ie[ds]$') then case when length(w) > 4 then w[:-3] else w[:-2] end when regexp_matches(w, '[aeiouy].*[^us]s$') then w[:-2] else w end as a from e1),
+e3 as (select *, {ending('a', ('eedly', 'eed', 'edly', 'ed', 'ingly', 'ing'))} as x from e2),
+e4 as (select *, left(a, length(a) - length(x)) as t from e3),
+e5 as (select *, case when a in ({kept}) then a when x like 'eed%' then case when length(t) >= r1 then t || 'ee' else a end
+  when x <> '' and regexp_matches(t, '[aeiouy]') then case when regexp_matches(t, '(at|bl|iz)$') then t || 'e' when regexp_matches(t, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') then t[:-2] when r1 >= length(t) and {short.format('t')} then t || 'e' else t end else a end as b from e4),
+e6 as (select *, case when regexp_matches(b, '.[^aeiouy][yY]$') then b[:-2] || 'i' else b end as c from e5),
+e7 as (select *, {ending('c', EN_STEP2)} as x2 from e6),
+e8 as (select *, left(c, length(c) - length(x2)) as t2 from e7),
+e9 as (select *, case when x2 = '' or length(t2) < r1 then c when x2 = 'ogi' then case when t2 like '%l' then t2 || 'og' else c end when x2 = 'li' then case when regexp_matches(t2, '[cdeghkmnrt]$') then t2 else c end else t2 || {replaced('x2', EN_STEP2)} end as d from e8),
+e10 as (select *, {ending('d', EN_STEP3)} as x3 from e9),
+e11 as (select *, left(d, length(d) - length(x3)) as t3 from e10),
+e12 as (select *, case when x3 = '' or length(t3) < r1 or (x3 = 'ative' and length(t3) < r2) then d else t3 || {replaced('x3', EN_STEP3)} end as f from e11),
+e13 as (select *, {ending('f', EN_STEP4)} as x4 from e12),
+e14 as (select *, left(f, length(f) - length(x4)) as t4 from e13),
+e15 as (select *, case when x4 = '' or length(t4) < r2 or (x4 = 'ion' and not regexp_matches(t4, '[st]$')) then f else t4 end as g from e14),
+english as (select term, case when length(term) <= 2 then term when special is not null then special when a in ({kept}) then a
+  else replace(case when g like '%e' and (length(g) - 1 >= r2 or length(g) - 1 >= r1 and not {short.format('g[:-2]')}) then g[:-2] when g like '%ll' and length(g) - 1 >= r2 then g[:-2] else g end, 'Y', 'y') end as english from e15)"""
+
+
 def _stemmed_sql(query: str, k: int) -> str:
     """A search over stems; the query's words are stemmed by the same steps."""
     sql = _Sql(lambda word: f"(select stem from stems where term = '{_fold(word)}')")
@@ -435,7 +469,7 @@ _PLAIN: dict[str, str | None] = {
     "lexicon_df": f"with {_POSTINGS} select term, df::bigint as df from le",
     "corpus_stats": f"with {_TOKENS} select count(*) as doc_count, sum(len(ts))::bigint as total_term_count, round(sum(len(ts))::double / count(*), 6) as avg_doc_length from d where len(ts) > 0",
     "idf_table": f"with {_POSTINGS} select term, round(idf, 6) as idf from idf",
-    "stem_vocabulary": None,
+    "stem_vocabulary": None,  # below
     "stem_russian": f"with {_TOKENS}, vocabulary as (select distinct term from tk), {_STEMS} select term, stem from stems",
     "stemmed_search": None,
     "true_length_search": f"""with {_POSTINGS} select doc_id, round(s::double, 6) as score from (select doc_id,
@@ -484,5 +518,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    later = {"highlight_offsets": _highlight_sql("чердак market"), "stemmed_search": _stemmed_sql(STEMMED, 50)}
+    later = {
+        "stem_vocabulary": f"with {_TOKENS}, vocabulary as (select distinct term from tk), {_STEMS}, {_english_sql()} select term, stem as russian, english from stems join english using (term)",
+        "highlight_offsets": _highlight_sql("чердак market"), "stemmed_search": _stemmed_sql(STEMMED, 50),
+    }
     return {name: sql for name, sql in _PLAIN.items() if sql} | later | {name: _search_sql(*how) for name, how in SEARCHES.items()}
