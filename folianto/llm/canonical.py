@@ -83,7 +83,7 @@ forms as (
 vals as (select distinct value from @values@ where value is not null and trim(regexp_replace(value, '\\\\s+', ' ')) <> ''),
 bare as (select value, {_bare("value")} as b, {_bare(_typed("value"))} as kb from vals),
 variants as (
-  select value, variant, min(kind) as kind from bare lateral view inline(array(
+  select /*+ repartition(%tasks%, value) */ value, variant, min(kind) as kind from bare lateral view inline(array(
     struct({_plain("b")}, 0), struct({_plain("value")}, 1), struct({_plain(_swapped("b"))}, 2),
     struct({_plain("kb")}, 3), struct({_plain(_swapped("kb"))}, 4), struct({_plain(_typed("value"))}, 5))) t as variant, kind
   where variant <> '' group by value, variant
@@ -94,7 +94,7 @@ segments as (
   select form, genre_id, n, k, i, substring(form, cast(i * n div (k + 1) as int) + 1, cast((i + 1) * n div (k + 1) - i * n div (k + 1) as int)) as piece
   from sized lateral view explode(sequence(0, k)) as i
 ),
-all_probes as (
+probes as (
   select distinct value, variant, kind, n, i, substring(variant, start, len) as piece from (
     select v.value, v.variant, v.kind, c.n, i, length(v.variant) as m, cast(i * c.n div (c.k + 1) as int) + 1 + shift as start,
            cast((i + 1) * c.n div (c.k + 1) - i * c.n div (c.k + 1) as int) as len
@@ -102,7 +102,6 @@ all_probes as (
     lateral view explode(sequence(0, c.k)) as i lateral view explode(sequence(-c.k, c.k)) as shift)
   where start >= 1 and len > 0 and start + len - 1 <= m
 ),
-probes as (select /*+ repartition(%tasks%, deal) */ *, xxhash64(value, variant, n, i, piece) as deal from all_probes),
 near as (
   select distinct p.value, p.kind, s.genre_id, levenshtein(p.variant, s.form) as edits, s.k, s.n, {_typos("p.variant", "s.form")} as typos
   from probes p join segments s on p.n = s.n and p.i = s.i and p.piece = s.piece
@@ -131,7 +130,7 @@ def map_values(spark: SparkSession, values: DataFrame, column: str, genre_list:
     inputs are not read; empty tables give no rows, an empty list leaves every value unmatched.
     """
     sql = re.sub(r"@(\w+)@", r"{\1}", _SQL.replace("{", "{{").replace("}", "}}"))
-    # few bytes, but much work for each probe: a number of tasks that isn't reduced to the bytes
+    # few bytes, but much work for each value: a number of tasks that isn't reduced to the bytes, behind the last step that would bring them together
     sql = sql.replace("%tasks%", spark.conf.get("spark.sql.shuffle.partitions"))
     values = values.select(values[column].alias("value"))
     best = cut(spark.sql(sql + "select value, genre_id, edits from best", values=values, genre_list=genre_list, genre_map=genre_map))
